@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +18,29 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from relweave.llm.fingerprints import fingerprint_edits
+
+    return fingerprint_edits(_table(spark, sf_dir, "documents"))
+
+
+def _fold(key, folds: int):
+    return F.pmod(F.crc32(F.encode(key.cast("string"), "UTF-8")), F.lit(folds))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from relweave.llm import quality
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, _table(spark, sf_dir, "labels"), lambda k: _fold(k, 5) != 0)
+    scored = quality.score_documents(docs, model, keep=["doc_id"])
+    held_out = F.coalesce(_fold(F.col("doc_id"), 5) == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 QUERIES = {
+    "op2_quality": op2_quality,
+    "op3_fingerprints": op3_fingerprints,
     "op6_sentencepiece": op6_sentencepiece,
 }
 
