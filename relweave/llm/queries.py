@@ -38,10 +38,17 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from relweave.llm.mixing import mix_sources
+
+    return mix_sources(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_quality": op2_quality,
     "op3_fingerprints": op3_fingerprints,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_mixing": op7_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
