@@ -44,11 +44,18 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from relweave.llm.sharding import shard_by_bytes
+
+    return shard_by_bytes(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_quality": op2_quality,
     "op3_fingerprints": op3_fingerprints,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_mixing": op7_mixing,
+    "op9_sharding": op9_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {}
