@@ -50,12 +50,19 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(_table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from relweave.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(_table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 QUERIES = {
     "op2_quality": op2_quality,
     "op3_fingerprints": op3_fingerprints,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_mixing": op7_mixing,
     "op9_sharding": op9_sharding,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -35,12 +35,12 @@ def _power(n: int) -> np.ndarray:
     return _powers
 
 
-def chunks(texts: list[str | None], chars: int = 1_500_000) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``chars`` characters."""
+def chunks(texts: list[str | None], chars: int = 1_500_000, rows: int = 4096) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``chars`` characters and at most ``rows`` rows."""
     lo = held = 0
     for i, t in enumerate(texts):
         held += len(t) if t else 0
-        if held >= chars:
+        if held >= chars or i + 1 - lo >= rows:
             yield lo, i + 1
             lo, held = i + 1, 0
     if lo < len(texts):
@@ -95,3 +95,15 @@ def distinct_sorted(hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, n
     hashes, doc = hashes[order], doc[order]
     keep = np.r_[True, (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])] if len(hashes) else np.zeros(0, dtype=bool)
     return hashes[keep], np.searchsorted(doc[keep], np.arange(len(ends)), side="right")
+
+
+def sequence_hashes(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each text's whole word sequence (0 without words)."""
+    starts = np.r_[0, ends[:-1]]
+    n = ends - starts
+    power = _power(int(n.max()) + 1 if len(n) else 1)[np.arange(len(words)) - np.repeat(starts, n)]
+    out = []
+    for salt in (0x1D8E4E27C47D124F, 0x5851F42D4C957F2D):
+        total = np.r_[np.uint64(0), np.cumsum(mix(words ^ np.uint64(salt)) * power, dtype=np.uint64)]
+        out.append(np.where(n > 0, mix(total[ends] - total[starts] + n.astype(np.uint64)), np.uint64(0)))
+    return out[0], out[1]
