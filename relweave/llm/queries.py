@@ -56,9 +56,20 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from relweave.llm import toxicity
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"), lambda k: _fold(k, 3) != 1)
+    scored = toxicity.score_documents(docs, model, keep=["doc_id"])
+    held_out = F.coalesce(_fold(F.col("doc_id"), 3) == 1, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op2_quality": op2_quality,
     "op3_fingerprints": op3_fingerprints,
+    "op4_toxicity": op4_toxicity,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_mixing": op7_mixing,
     "op9_sharding": op9_sharding,
