@@ -28,6 +28,16 @@ def _fold(key, folds: int):
     return F.pmod(F.crc32(F.encode(key.cast("string"), "UTF-8")), F.lit(folds))
 
 
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from relweave.llm.url_filters import judge_urls
+
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    return judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from relweave.llm import quality
 
@@ -67,6 +77,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_filters": op1_url_filters,
     "op2_quality": op2_quality,
     "op3_fingerprints": op3_fingerprints,
     "op4_toxicity": op4_toxicity,
@@ -76,4 +87,16 @@ QUERIES = {
     "op10_jaccard_join": op10_jaccard_join,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_RULES_SQL = ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in URL_RULES)
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_url_filters": f"""
+with rules(h, p, a) as (values {_RULES_SQL}),
+cut as (select page_id, row_number() over () as rn, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) end as rest from pages),
+parts as (select page_id, rn, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+                 coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path from cut),
+fit as (select rn, max_by(h || p, (length(h) + length(p)) * 10000 + length(h)) as rule, max_by(a, (length(h) + length(p)) * 10000 + length(h)) as verdict
+        from parts join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by rn)
+select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from parts left join fit using (rn)
+""",
+}
