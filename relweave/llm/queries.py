@@ -76,11 +76,18 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op5_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from relweave.llm.epsilon_grid import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_quality": op2_quality,
     "op3_fingerprints": op3_fingerprints,
     "op4_toxicity": op4_toxicity,
+    "op5_epsilon_grid": op5_epsilon_grid,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_mixing": op7_mixing,
     "op9_sharding": op9_sharding,
@@ -90,6 +97,13 @@ QUERIES = {
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in URL_RULES)
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_epsilon_grid": """
+with recursive good as (select vec_id, embedding::double[] as e from embeddings where embedding is not null and list_sum(list_transform(embedding::double[], lambda x: x * x)) > 0),
+link as (select a.vec_id as a, b.vec_id as b from good a, good b where a.vec_id != b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(node, seen) as (select vec_id, vec_id from embeddings union select r.node, l.b from reach r join link l on l.a = r.seen),
+part as (select node, min(seen) as component_id from reach group by node)
+select p.node as vec_id, (select count(*) from link where a = p.node) as n_links, p.component_id, p.node = p.component_id as kept from part p
+""",
     "op1_url_filters": f"""
 with rules(h, p, a) as (values {_RULES_SQL}),
 cut as (select page_id, row_number() over () as rn, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) end as rest from pages),

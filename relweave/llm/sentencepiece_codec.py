@@ -23,6 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACE = "▁"
 #: Words whose pieces a Python worker remembers; the memory starts anew when full.
@@ -314,7 +315,7 @@ def encode_documents(df: DataFrame, model_path: str, text: str = "text", out: st
             ids = [x for flat, ends in _encoded(batch["__text"].tolist(), memory) for x in np.split(flat, ends[:-1])]
             yield batch.drop(columns="__text").assign(**{out: ids})
 
-    schema = df.select(*kept).schema.add(out, "array<int>")
+    schema = df.select(*kept).schema.add(out, T.ArrayType(T.IntegerType()))
     return source.mapInPandas(run, schema)
 
 
