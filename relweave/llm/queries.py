@@ -82,6 +82,12 @@ def op5_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from relweave.llm.line_dedup import dedup_lines
+
+    return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_quality": op2_quality,
@@ -90,6 +96,7 @@ QUERIES = {
     "op5_epsilon_grid": op5_epsilon_grid,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_mixing": op7_mixing,
+    "op8_line_dedup": op8_line_dedup,
     "op9_sharding": op9_sharding,
     "op10_jaccard_join": op10_jaccard_join,
 }
