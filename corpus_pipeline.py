@@ -7,7 +7,7 @@ shared folder and reads them again for the next. All stages but the last return
 2. line_dedup: lines that match an earlier line go from the texts.
 3. near_duplicates: of each group of linked documents (five-word shingles, Jaccard 0.8 or more) the one with the
    smallest id stays.
-4. mixing: documents of which the mix takes no words go; a document stays once, however often its words are repeated.
+4. mixing: a document is repeated as often as the mix takes its words (to a whole number by a seeded hash); with 0 it goes.
 5. encode: number and digest of each text's SentencePiece ids, and the digest of the decoded text.
 """
 
@@ -43,7 +43,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mixed = mix_sources(docs, keep=[c for c in docs.columns if c != "doc_id"])
-    return mixed.where("taken > 0").select(*docs.columns)
+    # whole documents: the share of a text that the mix takes, rounded up or down by a seeded hash
+    chance = F.pmod(F.xxhash64(F.lit(23), "doc_id", "text"), F.lit(1_000_000)) / 1_000_000
+    copies = F.floor(F.col("taken") / F.col("size") + chance).cast("int")
+    return mixed.where("taken > 0").withColumn("__copy", F.explode(F.sequence(F.lit(0), copies))).where("__copy > 0").select(*docs.columns)
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
