@@ -138,7 +138,7 @@ def pack_rows(matrix: np.ndarray) -> np.ndarray:
 
 
 def unpack_rows(words: np.ndarray, width: int) -> np.ndarray:
-    data = np.ascontiguousarray(words).view(np.uint8).reshape(len(words), -1)
+    data = np.ascontiguousarray(words).view(np.uint8).reshape(len(words), 8 * words.shape[1])
     return np.unpackbits(data, axis=1, bitorder="little")[:, :width]
 
 
