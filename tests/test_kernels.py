@@ -195,7 +195,7 @@ def test_table_containers_read_back_twice():
 
 
 def test_nulls_never_beat_passthrough():
-    for d in (G.mixed_noise_bits(2048, 64, 1), G.shuffled_bits(G.gf2_linear_code(512, 16, 16, 3), 4), G.near_relation_bits(512, 15, 5)):
+    for d in (G.mixed_noise_bits(2048, 64, 1), G.shuffled_bits(G.gf2_linear_code(512, 16, 16, 3), 4), G.near_relation_bits(4096, 16, 5)):
         assert len(C.encode_best(d.data).data) == len(d.data) + 18
 
 
