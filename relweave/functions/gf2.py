@@ -50,7 +50,9 @@ class Echelon:
 
     def _insert(self, rows: np.ndarray) -> None:
         for row in rows:
-            row = self._reduce(row[None])[0]
+            at = np.array(self.pivots, dtype=np.int64)
+            has = (row[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+            row = row ^ np.bitwise_xor.reduce(self.rows[has], axis=0) if has.any() else row
             word = np.flatnonzero(row)
             if not len(word):
                 continue
