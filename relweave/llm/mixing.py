@@ -131,9 +131,9 @@ def mix_sources(
 
     def chosen(b: Column) -> Column:
         """Whether block b is among those that its shard takes besides the whole passes."""
-        guess = F.floor(b * shards / F.col("__blocks"))
-        near = F.slice("__shards", F.greatest(guess.cast("int"), F.lit(1)), F.lit(3))
-        mine = F.filter(near, lambda x: (x["__from"] <= b) & (b < x["__from"] + x["__n"]))[0]
+        # the first shard whose end, blocks * (k + 1) div shards, lies behind b
+        k = F.ceil((b + 1) * shards / F.col("__blocks")) - 1
+        mine = F.get("__shards", F.least(k, F.lit(shards - 1)).cast("int"))
         n = mine["__n"]
         local = b - mine["__from"]
         turn = F.pmod(F.xxhash64(F.lit(seed), F.col("__o"), mine["shard"]), n)
