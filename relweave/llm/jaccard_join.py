@@ -3,8 +3,10 @@
 Texts with equal word sequences form a class; classes are joined. Under any one order of all shingles, two sets whose
 similarity reaches the threshold share a shingle among their first n - ceil(t n) + 1. The first order is by rarity (a
 count sketch of all shingles, ties by hash), so common shingles come last; two more orders are by independent hashes.
-A pair is a candidate if it shares a prefix shingle under the first order and its sizes and positions allow the
-threshold; it must share one under each other order as well before it is verified on whole shingle sets.
+A pair is a candidate if it shares a prefix shingle under the first order and its sizes allow the threshold. Under each
+other order both prefixes are then compared up to the lower of their ends, below which both are complete: what is
+missing on either side there bounds the intersection from above. Only pairs that every order lets through are verified
+on whole shingle sets; until then prefixes of 32-bit hashes travel, not texts.
 
 Large groups of copies. Verified pairs only matter as far as they connect classes, so a prefix shingle's classes are
 first compared with one of them each (the leader); where that has put all classes of a shingle into one component, no
@@ -89,31 +91,64 @@ def _prefixes(batches, k: int, num: int, den: int, levels: np.ndarray):
             yield pd.DataFrame({"d": keys.iloc[lo:hi].to_numpy(), "n": n.astype(np.int32), "tokens": np.split(token, cut)})
 
 
+def _prefix_length(n: int, num: int, den: int) -> int:
+    """Shingles of a signature: the threshold's prefix, lengthened by two thirds so that its bound has force."""
+    return min(n, (n - -(-n * num // den)) * 5 // 3 + 8)
+
+
+def _signatures(batches, k: int, num: int, den: int):
+    """Per text: n and, for each further order, the first shingles as sorted 32-bit numbers."""
+    for batch in batches:
+        texts, keys = batch["__text"].tolist(), batch["__key"]
+        for lo, hi in chunks(texts):
+            flat, ends = distinct_sorted(*text_shingles(texts[lo:hi], k))
+            doc = np.repeat(np.arange(hi - lo, dtype=np.uint64), np.diff(np.r_[0, ends]))
+            n = np.diff(np.r_[0, ends])
+            size = np.array([_prefix_length(int(x), num, den) for x in n])
+            first = ends - n
+            out = {"d": keys.iloc[lo:hi].to_numpy(), "n": n.astype(np.int32)}
+            for i, salt in enumerate(_ORDERS):
+                key = np.sort(doc << np.uint64(32) | mix(flat ^ np.uint64(salt)) >> np.uint64(32)) & np.uint64(0xFFFFFFFF)
+                low = key.astype("<u4")
+                out[f"s{i}"] = [low[f : f + m].tobytes() for f, m in zip(first.tolist(), size.tolist(), strict=True)]
+            yield pd.DataFrame(out)
+
+
+def _may_reach(nx: int, ny: int, x: bytes, y: bytes, num: int, den: int) -> bool:
+    """False only if the two prefixes prove that the sets cannot reach the threshold."""
+    p, q = np.frombuffer(x, dtype="<u4"), np.frombuffer(y, dtype="<u4")
+    end = min(p[-1] if len(p) < nx else 1 << 32, q[-1] if len(q) < ny else 1 << 32)
+    p, q = p[: np.searchsorted(p, end)], q[: np.searchsorted(q, end)]
+    both = len(np.intersect1d(p, q))
+    # a 32-bit number that two shingles share counts for both: the bound only grows
+    both += max(len(p) - len(np.unique(p)), len(q) - len(np.unique(q)))
+    most = both + min(nx - len(p), ny - len(q))
+    return most * (den + num) >= num * (nx + ny)
+
+
+def _pass(batches, num: int, den: int):
+    """The pairs that every further order lets through."""
+    for b in batches:
+        rows = zip(b["n_a"], b["n_b"], *[b[f"s{i}_{e}"] for i in range(len(_ORDERS)) for e in "ab"], strict=True)
+        good = [all(_may_reach(r[0], r[1], r[2 + 2 * i], r[3 + 2 * i], num, den) for i in range(len(_ORDERS))) for r in rows]
+        yield b.loc[good, ["a", "b"]]
+
+
 def _verify(batches, k: int, num: int, den: int):
-    """The pairs whose sets reach the threshold; the other orders' prefixes are compared first."""
+    """The pairs whose whole sets reach the threshold."""
     for batch in batches:
         for lo in range(0, len(batch), 256):
             part = batch.iloc[lo : lo + 256]
-            texts = part["text_a"].tolist() + part["text_b"].tolist()
-            flat, ends = distinct_sorted(*text_shingles(texts, k))
-            sets = np.split(flat, ends[:-1])
             m = len(part)
-            good = [_similar(sets[i], sets[m + i], num, den) for i in range(m)]
+            flat, ends = distinct_sorted(*text_shingles(part["text_a"].tolist() + part["text_b"].tolist(), k))
+            sets = np.split(flat, ends[:-1])
+            good = []
+            for x, y in zip(sets[:m], sets[m:], strict=True):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both > 0 and both * den >= num * (len(x) + len(y) - both))
             yield part.loc[good, ["a", "b"]]
 
 
-def _similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
-    nx, ny = len(x), len(y)
-    if not nx or not ny or min(nx, ny) * den < max(nx, ny) * num:
-        return False
-    for salt in _ORDERS:
-        px, py = (np.partition(mix(s ^ np.uint64(salt)), p)[: p + 1] if (p := len(s) - -(-len(s) * num // den)) < len(s) else mix(s ^ np.uint64(salt)) for s in (x, y))
-        if not len(np.intersect1d(px, py, assume_unique=True)):
-            return False
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both * den >= num * (nx + ny - both)
-
-
 def _bloom(ids: DataFrame, col: str) -> np.ndarray:
     """A Bloom filter of the ids: at most 2^(BLOOM_BITS - 6) numbers, however many ids there are."""
     at = F.explode(F.array(*[F.shiftrightunsigned(F.xxhash64(F.lit(s), F.col(col).cast("string")), 64 - BLOOM_BITS) for s in (1, 2)]))
@@ -142,11 +177,14 @@ def _only(texts: DataFrame, bloom: np.ndarray) -> DataFrame:
     return texts.select("d", "text", *p).mapInPandas(run, texts.select("d", "text").schema)
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The verified ones of the candidate pairs (a, b)."""
+def _linked(pairs: DataFrame, texts: DataFrame, signatures: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The verified ones of the candidate pairs (a, b), after the further orders' filters."""
+    a, b = (signatures.select(F.col("d").alias(e), *[F.col(c).alias(f"{c}_{e}") for c in ("n", *[f"s{i}" for i in range(len(_ORDERS))])]) for e in "ab")
+    kept = pairs.join(a, "a").join(b, "b").mapInPandas(lambda it: _pass(it, num, den), pairs.select("a", "b").schema)
+    kept = materialize(kept, "nj")
     left = texts.select(F.col("d").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("d").alias("b"), F.col("text").alias("text_b"))
-    whole = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "text_a", "text_b")
+    whole = kept.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
     return whole.mapInPandas(lambda it: _verify(it, k, num, den), pairs.select("a", "b").schema)
 
 
@@ -181,7 +219,10 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", k
     some = materialize(held.select("token", "d", "n", "place"), "nj")
     texts = _only(docs, _bloom(some.select("d").distinct(), "d"))
     texts = materialize(texts.join(rep, "d", "left_semi").distinct(), "nj")
-    links = materialize(_linked(pairs, texts, k, num, den), "nj")
+    given = texts.select(F.col("d").cast("string").alias("__key"), F.col("text").alias("__text"))
+    signed = given.mapInPandas(lambda it: _signatures(it, k, num, den), "d string, n int, s0 binary, s1 binary")
+    signed = materialize(signed.withColumn("d", F.col("d").cast(kind)), "nj")
+    links = materialize(_linked(pairs, texts, signed, k, num, den), "nj")
     part = materialize(connected_components(links), "nj")
 
     # shingles whose classes lie in several components: all pairs across them
@@ -195,7 +236,7 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", k
     reach = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
     met = met.where(reach * (den + num) >= num * (F.col("n_x") + F.col("n_y")))
     more = met.select(F.col("d_x").alias("a"), F.col("d_y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    late = materialize(_linked(more, texts, k, num, den), "nj")
+    late = materialize(_linked(more, texts, signed, k, num, den), "nj")
     if late.isEmpty():
         whole = part
     else:

@@ -40,6 +40,13 @@ def path_of(url: Column) -> Column:
     return F.when(at > 0, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)).otherwise(F.lit(""))
 
 
+def _labels(host: Column) -> Column:
+    """The host's labels, in which the key's own separators are escaped."""
+    for c, to in (("\x03", "\x03c"), (_LABEL, "\x03a"), (_PATH, "\x03b")):
+        host = F.replace(host, F.lit(c), F.lit(to))
+    return F.split(host, r"\.")
+
+
 def _host_key(labels: Column) -> Column:
     return F.array_join(F.reverse(labels), _LABEL)
 
@@ -47,7 +54,7 @@ def _host_key(labels: Column) -> Column:
 def rule_stacks(rules: DataFrame) -> DataFrame:
     """(key, stack) of each rule (host, path, action): the stack holds the rules whose keys are prefixes of its own, shortest first."""
     block_first = F.when(F.col("action") == "block", 0).otherwise(1)
-    r = rules.select("host", "path", "action", F.concat(_host_key(F.split("host", r"\.")), F.lit(_PATH), F.col("path")).alias("key"))
+    r = rules.select("host", "path", "action", F.concat(_host_key(_labels(F.col("host"))), F.lit(_PATH), F.col("path")).alias("key"))
     one = r.groupBy("key").agg(F.min(F.struct(block_first.alias("o"), "host", "path", "action")).alias("r")).select("key", "r.host", "r.path", "r.action")
     own = F.struct(F.length("key").alias("size"), F.col("key").alias("prefix"), "host", "path", "action")
     inner = one.select("key", F.explode(F.transform(F.sequence(F.lit(1), F.length("key")), lambda n: F.substring(F.col("key"), F.lit(1), n))).alias("prefix"))
@@ -62,7 +69,7 @@ def judge_urls(df: DataFrame, rules: DataFrame, key: str = "page_id", url: str =
     rows = df.select(F.struct(F.col(key), *extra).alias("__own"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     stacks = materialize(rule_stacks(rules), "rules")
     deepest = rules.agg(F.max(F.size(F.split("host", r"\.")))).first()[0] or 0
-    labels = F.split("host", r"\.")
+    labels = _labels(F.col("host"))
     # host suffixes of 1 to `deepest` labels, each with its probe key
     n = F.least(F.size(labels), F.lit(deepest))
     probes = F.transform(F.when((n > 0) & (F.col("host") != ""), F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda i: F.concat(_host_key(F.slice(labels, -i, i)), F.lit(_PATH), F.col("path")))
