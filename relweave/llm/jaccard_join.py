@@ -6,7 +6,7 @@ count sketch of all shingles, ties by hash), so common shingles come last; two m
 A pair is a candidate if it shares a prefix shingle under the first order and its sizes allow the threshold. Under each
 other order both prefixes are then compared up to the lower of their ends, below which both are complete: what is
 missing on either side there bounds the intersection from above. Only pairs that every order lets through are verified
-on whole shingle sets; until then prefixes of 32-bit hashes travel, not texts.
+on whole shingle sets; until then prefixes of 16-bit hashes travel, not texts.
 
 Large groups of copies. Verified pairs only matter as far as they connect classes, so a prefix shingle's classes are
 first compared with one of them each (the leader); where that has put all classes of a shingle into one component, no
@@ -97,7 +97,7 @@ def _prefix_length(n: int, num: int, den: int) -> int:
 
 
 def _signatures(batches, k: int, num: int, den: int):
-    """Per text: n and, for each further order, the first shingles as sorted 32-bit numbers."""
+    """Per text: n and, for each further order, the first shingles as sorted 16-bit numbers."""
     for batch in batches:
         texts, keys = batch["__text"].tolist(), batch["__key"]
         for lo, hi in chunks(texts):
@@ -108,30 +108,29 @@ def _signatures(batches, k: int, num: int, den: int):
             first = ends - n
             out = {"d": keys.iloc[lo:hi].to_numpy(), "n": n.astype(np.int32)}
             for i, salt in enumerate(_ORDERS):
-                key = np.sort(doc << np.uint64(32) | mix(flat ^ np.uint64(salt)) >> np.uint64(32)) & np.uint64(0xFFFFFFFF)
-                low = key.astype("<u4")
+                key = np.sort(doc << np.uint64(16) | mix(flat ^ np.uint64(salt)) >> np.uint64(48)) & np.uint64(0xFFFF)
+                low = key.astype("<u2")
                 out[f"s{i}"] = [low[f : f + m].tobytes() for f, m in zip(first.tolist(), size.tolist(), strict=True)]
             yield pd.DataFrame(out)
 
 
 def _may_reach(nx: int, ny: int, x: bytes, y: bytes, num: int, den: int) -> bool:
     """False only if the two prefixes prove that the sets cannot reach the threshold."""
-    p, q = np.frombuffer(x, dtype="<u4"), np.frombuffer(y, dtype="<u4")
-    end = min(p[-1] if len(p) < nx else 1 << 32, q[-1] if len(q) < ny else 1 << 32)
+    p, q = np.frombuffer(x, dtype="<u2"), np.frombuffer(y, dtype="<u2")
+    end = min(int(p[-1]) if len(p) < nx else 1 << 16, int(q[-1]) if len(q) < ny else 1 << 16)
     p, q = p[: np.searchsorted(p, end)], q[: np.searchsorted(q, end)]
     both = len(np.intersect1d(p, q))
-    # a 32-bit number that two shingles share counts for both: the bound only grows
+    # a number that several shingles of a set share may stand for as many common ones: the bound only grows
     both += max(len(p) - len(np.unique(p)), len(q) - len(np.unique(q)))
     most = both + min(nx - len(p), ny - len(q))
     return most * (den + num) >= num * (nx + ny)
 
 
 def _pass(batches, num: int, den: int):
-    """The pairs that every further order lets through."""
+    """The pairs that one further order lets through."""
     for b in batches:
-        rows = zip(b["n_a"], b["n_b"], *[b[f"s{i}_{e}"] for i in range(len(_ORDERS)) for e in "ab"], strict=True)
-        good = [all(_may_reach(r[0], r[1], r[2 + 2 * i], r[3 + 2 * i], num, den) for i in range(len(_ORDERS))) for r in rows]
-        yield b.loc[good, ["a", "b"]]
+        rows = zip(b["n_a"], b["n_b"], b["s_a"], b["s_b"], strict=True)
+        yield b.loc[[_may_reach(*r, num, den) for r in rows], ["a", "b"]]
 
 
 def _verify(batches, k: int, num: int, den: int):
@@ -179,13 +178,18 @@ def _only(texts: DataFrame, bloom: np.ndarray) -> DataFrame:
 
 def _linked(pairs: DataFrame, texts: DataFrame, signatures: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The verified ones of the candidate pairs (a, b), after the further orders' filters."""
-    a, b = (signatures.select(F.col("d").alias(e), *[F.col(c).alias(f"{c}_{e}") for c in ("n", *[f"s{i}" for i in range(len(_ORDERS))])]) for e in "ab")
-    kept = pairs.join(a, "a").join(b, "b").mapInPandas(lambda it: _pass(it, num, den), pairs.select("a", "b").schema)
-    kept = materialize(kept, "nj")
+    for i in range(len(_ORDERS)):  # one order after the other: most pairs fail at the first
+        a, b = (signatures.select(F.col("d").alias(e), F.col("n").alias(f"n_{e}"), F.col(f"s{i}").alias(f"s_{e}")) for e in "ab")
+        kept = materialize(pairs.join(a, "a").join(b, "b").mapInPandas(lambda it: _pass(it, num, den), pairs.select("a", "b").schema), "nj")
+        if i:
+            release(pairs)
+        pairs = kept
     left = texts.select(F.col("d").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("d").alias("b"), F.col("text").alias("text_b"))
-    whole = kept.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return whole.mapInPandas(lambda it: _verify(it, k, num, den), pairs.select("a", "b").schema)
+    whole = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    links = materialize(whole.mapInPandas(lambda it: _verify(it, k, num, den), pairs.select("a", "b").schema), "nj")
+    release(pairs)
+    return links
 
 
 def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -211,10 +215,11 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", k
     shared = materialize(rows_of.select("token", "d", "n", "place").join(rep, "d", "left_semi"), "nj")
 
     # each shingle's classes against one leader; few different leaders, so that pairs recur and fall together
-    lead = shared.groupBy("token").agg(F.count("*").alias("same"), F.min(F.struct(F.xxhash64(F.pmod(F.col("token"), F.lit(LEADERS)), "d").alias("h"), "d", "n")).alias("lead")).where("same > 1")
+    lead = shared.groupBy("token").agg(F.count("*").alias("same"), F.min(F.struct(F.xxhash64(F.pmod(F.col("token"), F.lit(LEADERS)), "d").alias("h"), "d", "n", "place")).alias("lead")).where("same > 1")
     held = shared.join(lead, "token")
     fits = lambda p, q: F.least(p, q) * den >= F.greatest(p, q) * num
-    pairs = held.where((F.col("d") != F.col("lead.d")) & fits(F.col("n"), F.col("lead.n")))
+    reach = lambda p, i, q, j: F.least(p - i, q - j) * (den + num) >= num * (p + q)
+    pairs = held.where((F.col("d") != F.col("lead.d")) & fits(F.col("n"), F.col("lead.n")) & reach(F.col("n"), F.col("place"), F.col("lead.n"), F.col("lead.place")))
     pairs = materialize(pairs.select(F.least("d", "lead.d").alias("a"), F.greatest("d", "lead.d").alias("b")).distinct(), "nj")
     some = materialize(held.select("token", "d", "n", "place"), "nj")
     texts = _only(docs, _bloom(some.select("d").distinct(), "d"))
@@ -222,7 +227,7 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", k
     given = texts.select(F.col("d").cast("string").alias("__key"), F.col("text").alias("__text"))
     signed = given.mapInPandas(lambda it: _signatures(it, k, num, den), "d string, n int, s0 binary, s1 binary")
     signed = materialize(signed.withColumn("d", F.col("d").cast(kind)), "nj")
-    links = materialize(_linked(pairs, texts, signed, k, num, den), "nj")
+    links = _linked(pairs, texts, signed, k, num, den)
     part = materialize(connected_components(links), "nj")
 
     # shingles whose classes lie in several components: all pairs across them
@@ -233,16 +238,16 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", k
     x, y = (rest.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("d", "n", "place", "c")]) for s in "xy")
     met = x.join(y, "token").where((F.col("d_x") < F.col("d_y")) & (F.col("c_x") != F.col("c_y")) & fits(F.col("n_x"), F.col("n_y")))
     # what can still be shared from the first common shingle on
-    reach = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
-    met = met.where(reach * (den + num) >= num * (F.col("n_x") + F.col("n_y")))
+    met = met.where(reach(F.col("n_x"), F.col("place_x"), F.col("n_y"), F.col("place_y")))
     more = met.select(F.col("d_x").alias("a"), F.col("d_y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    late = materialize(_linked(more, texts, signed, k, num, den), "nj")
+    late = _linked(more, texts, signed, k, num, den)
     if late.isEmpty():
         whole = part
     else:
-        joined = links.unionByName(late)
-        whole = materialize(connected_components(joined), "nj")
-    release(shared), release(with_part), release(rest)
+        whole = materialize(connected_components(links.unionByName(late)), "nj")
+        release(part)
+    for done in (links, late, shared, pairs, some, texts, signed, with_part, rest):
+        release(done)
     member = classes.join(whole.select(F.col("node").alias("rep"), "component_id"), "rep", "left").select("c1", "c2", F.coalesce("component_id", "rep").alias("component_id"))
     out = rows.join(member, ["c1", "c2"], "left")
     own = F.when(F.col("d").isNull(), F.lit(None)).otherwise(F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("d")))

@@ -96,7 +96,7 @@ def test_prefix_bound_never_rejects_a_link():
         y = np.unique(np.r_[x[rng.random(len(x)) > rng.choice([0.02, 0.1, 0.4])], pool[300 : 300 + rng.integers(1, 20)]])
         both = len(np.intersect1d(x, y))
         if 100 * both >= 85 * (len(x) + len(y) - both):
-            sign = lambda s: np.sort(mix(s) >> np.uint64(32)).astype("<u4")[: J._prefix_length(len(s), 85, 100)].tobytes()
+            sign = lambda s: np.sort(mix(s) >> np.uint64(48)).astype("<u2")[: J._prefix_length(len(s), 85, 100)].tobytes()
             assert J._may_reach(len(x), len(y), sign(x), sign(y), 85, 100)
 
 
