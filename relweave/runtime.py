@@ -24,12 +24,14 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: a lineage cut that survives lost executors.
 
-    The files go when the Spark driver ends (or earlier, with ``release``).
+    The files go when the Spark driver ends (or earlier, with ``release``). Spark deletes a shuffle's files only when the
+    driver collects its garbage, so that is asked for here: jobs of many steps then need the disk of a few steps.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/relweave/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm
+    jvm.System.gc()  # shuffles of what has been written are garbage now: Spark deletes their files once it knows
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
