@@ -35,6 +35,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
             break
     else:
         raise RuntimeError("the components did not settle")
+    # `now` stays: the result reads it
     centres = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component_id"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component_id")).unionByName(centres)
 

@@ -9,9 +9,9 @@ missing on either side there bounds the intersection from above. Only pairs that
 on whole shingle sets; until then prefixes of 16-bit hashes travel, not texts.
 
 Large groups of copies. Verified pairs only matter as far as they connect classes, so a prefix shingle's classes are
-first compared with one of them each (the leader); where that has put all classes of a shingle into one component, no
-further pair of it can change anything. Of the other shingles, every pair across components is compared. This loses no
-link: the components are those of all links.
+first compared with one of them each (the leader), in a few turns with other leaders; where that has put all classes of
+a shingle into one component, no further pair of it can change anything. Of the other shingles, every pair across
+components is compared. This loses no link: the components are those of all links.
 
 Defined results: words are lower-cased (A-Z) and parted by ASCII white space; a text with fewer words than a shingle has
 one, its whole sequence; null, empty and blank texts have none and link with nothing; a null key has a null component
@@ -35,6 +35,8 @@ SKETCH_BITS = 17
 #: log2 of the bits of the Bloom filter that spares shuffling texts without any candidate.
 BLOOM_BITS = 24
 LEADERS = 4
+#: Turns of comparing with leaders before the remaining pairs across components are compared.
+TURNS = 4
 _ORDERS = (0x9FB21C651E98DF25, 0x2545F4914F6CDD1D)
 
 
@@ -214,27 +216,46 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", k
     rep = classes.select(F.col("rep").alias("d")).distinct()
     shared = materialize(rows_of.select("token", "d", "n", "place").join(rep, "d", "left_semi"), "nj")
 
-    # each shingle's classes against one leader; few different leaders, so that pairs recur and fall together
-    lead = shared.groupBy("token").agg(F.count("*").alias("same"), F.min(F.struct(F.xxhash64(F.pmod(F.col("token"), F.lit(LEADERS)), "d").alias("h"), "d", "n", "place")).alias("lead")).where("same > 1")
-    held = shared.join(lead, "token")
     fits = lambda p, q: F.least(p, q) * den >= F.greatest(p, q) * num
     reach = lambda p, i, q, j: F.least(p - i, q - j) * (den + num) >= num * (p + q)
-    pairs = held.where((F.col("d") != F.col("lead.d")) & fits(F.col("n"), F.col("lead.n")) & reach(F.col("n"), F.col("place"), F.col("lead.n"), F.col("lead.place")))
-    pairs = materialize(pairs.select(F.least("d", "lead.d").alias("a"), F.greatest("d", "lead.d").alias("b")).distinct(), "nj")
-    some = materialize(held.select("token", "d", "n", "place"), "nj")
-    texts = _only(docs, _bloom(some.select("d").distinct(), "d"))
+
+    def against_leaders(members: DataFrame, turn: int) -> DataFrame:
+        """Candidate pairs of each shingle's members with one of them; few different leaders, so that pairs recur and fall together."""
+        order = F.xxhash64(F.lit(turn), F.pmod(F.col("token"), F.lit(LEADERS)), "d")
+        lead = members.groupBy("token").agg(F.min(F.struct(order.alias("h"), "d", "n", "place", "c")).alias("lead"))
+        met = members.join(lead, "token").where((F.col("c") != F.col("lead.c")) & fits(F.col("n"), F.col("lead.n")) & reach(F.col("n"), F.col("place"), F.col("lead.n"), F.col("lead.place")))
+        return materialize(met.select(F.least("d", "lead.d").alias("a"), F.greatest("d", "lead.d").alias("b")).distinct(), "nj")
+
+    def still_open(members: DataFrame, part: DataFrame | None) -> DataFrame:
+        """The members of shingles whose classes lie in several components, with their components c."""
+        own = F.col("d") if part is None else F.coalesce("component_id", "d")
+        placed = members.select("token", "d", "n", "place") if part is None else members.select("token", "d", "n", "place").join(part.select(F.col("node").alias("d"), "component_id"), "d", "left")
+        placed = placed.select("token", "d", "n", "place", own.alias("c"))
+        open_ = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("token")
+        return materialize(placed.join(open_, "token", "left_semi"), "nj")
+
+    rest = still_open(shared, None)
+    release(shared)
+    texts = _only(docs, _bloom(rest.select("d").distinct(), "d"))
     texts = materialize(texts.join(rep, "d", "left_semi").distinct(), "nj")
     given = texts.select(F.col("d").cast("string").alias("__key"), F.col("text").alias("__text"))
     signed = given.mapInPandas(lambda it: _signatures(it, k, num, den), "d string, n int, s0 binary, s1 binary")
     signed = materialize(signed.withColumn("d", F.col("d").cast(kind)), "nj")
-    links = _linked(pairs, texts, signed, k, num, den)
-    part = materialize(connected_components(links), "nj")
-
-    # shingles whose classes lie in several components: all pairs across them
-    with_part = some.join(part.select(F.col("node").alias("d"), "component_id"), "d", "left").select("token", "d", "n", "place", F.coalesce("component_id", "d").alias("c"))
-    with_part = materialize(with_part, "nj")
-    open_ = with_part.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("token")
-    rest = materialize(with_part.join(open_, "token", "left_semi"), "nj")
+
+    # against leaders, in turns: each time only shingles whose classes are not connected yet
+    links, pairs, part = None, None, None
+    for turn in range(TURNS):
+        met = against_leaders(rest, turn)
+        new = _linked(met, texts, signed, k, num, den)
+        pairs = met if pairs is None else pairs.unionByName(met)
+        if turn and new.isEmpty():
+            break
+        links = new if links is None else links.unionByName(new)
+        part = materialize(connected_components(links), "nj")
+        before, rest = rest, still_open(rest, part)
+        release(before)
+
+    # what is open then: all pairs across components
     x, y = (rest.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("d", "n", "place", "c")]) for s in "xy")
     met = x.join(y, "token").where((F.col("d_x") < F.col("d_y")) & (F.col("c_x") != F.col("c_y")) & fits(F.col("n_x"), F.col("n_y")))
     # what can still be shared from the first common shingle on
@@ -246,7 +267,7 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", k
     else:
         whole = materialize(connected_components(links.unionByName(late)), "nj")
         release(part)
-    for done in (links, late, shared, pairs, some, texts, signed, with_part, rest):
+    for done in (texts, signed, rest, late):
         release(done)
     member = classes.join(whole.select(F.col("node").alias("rep"), "component_id"), "rep", "left").select("c1", "c2", F.coalesce("component_id", "rep").alias("component_id"))
     out = rows.join(member, ["c1", "c2"], "left")
