@@ -291,3 +291,32 @@ def test_shards_are_near_equal(spark):
     got = shard_by_bytes(df).groupBy("shard").agg(F.sum("size").alias("b")).collect()
     total = [r["b"] for r in got]
     assert len(total) == 8 and max(total) - min(total) <= 450
+
+
+def word_set_oracle(rows, num=80):
+    """As line_oracle, but a line is the set of its words, and every line that has one takes part."""
+    seen, out = [], []
+    for _, text in rows:
+        kept = []
+        for line in text.split("\n"):
+            s = {x for x in re.split(r"[\x20\x09\x0b-\x0d]+", line) if x}
+            if not s or not any(100 * len(s & o) >= num * len(s | o) for o in seen):
+                kept.append(line)
+            seen += [s] if s else []
+        out.append("\n".join(kept))
+    return out
+
+
+def test_lines_are_sets_of_words(spark):
+    from relweave.llm.line_dedup import dedup_lines
+
+    rnd = random.Random(11)
+    rows = []
+    for n in (10, 20, 30, 40):
+        line = [f"word{n}x{i}" for i in range(n)]
+        rows += [(len(rows), " ".join(line)), (len(rows) + 1, " ".join([*line[: n // 2], "changed", *line[n // 2 + 1 :]]))]
+    vocabulary = [f"vocab{i}" for i in range(14)]
+    rows += [(d, "\n".join(" ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(4, 30))) for _ in range(4))) for d in range(len(rows), 60)]
+    got = {r["doc_id"]: r["text"] for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[d] for d, _ in rows] == word_set_oracle(rows)
+    assert [got[d] for d in range(1, 8, 2)] == [""] * 4
