@@ -320,3 +320,11 @@ def test_lines_are_sets_of_words(spark):
     got = {r["doc_id"]: r["text"] for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[d] for d, _ in rows] == word_set_oracle(rows)
     assert [got[d] for d in range(1, 8, 2)] == [""] * 4
+
+
+def test_short_lines_take_part(spark):
+    from relweave.llm.line_dedup import dedup_lines
+
+    rows = [(1, "Read more\n\nSubscribe now!\n \t"), (2, "Read more\n\nmore Read\nx"), (3, "Subscribe now!\n \t\nx\nRead less\nRead  more")]
+    got = {r["doc_id"]: r["text"] for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[d] for d, _ in rows] == word_set_oracle(rows) == ["Read more\n\nSubscribe now!\n \t", "\nx", " \t\nRead less"]
