@@ -1,7 +1,8 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
 A word's input is a learned vector of the word (of a vocabulary chosen on the training rows; others share one) beside
-the mean of learned vectors of its hashed character trigrams. The network reads windows of ``WINDOW`` words that start
+the mean of learned vectors of its hashed character trigrams. A run of more than ``PIECE`` letters (text without spaces)
+counts as words of ``PIECE`` letters that start every ``PIECE_STRIDE`` letters and cover it. The network reads windows of ``WINDOW`` words that start
 every ``STRIDE`` words, so they overlap and cover the whole text; attention pools the states of both directions; a
 text's score is its worst window's.
 
@@ -30,6 +31,7 @@ TRAIN_ROWS = 12_000
 WINDOWS_A_ROW = 3
 VOCABULARY = 6_000
 WINDOW, STRIDE = 40, 30
+PIECE, PIECE_STRIDE = 40, 30
 THRESHOLD = 0.7
 NOTHING = 0.02
 TRIGRAMS = 1 << 11
@@ -40,11 +42,14 @@ _WORD_DIM, _CHAR_DIM, _HIDDEN, _ATTENTION = 8, 6, 8, 8
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    found = WORD.findall(text.lower()) if text else []
+    if all(len(w) <= PIECE for w in found):
+        return found
+    return [w[s : s + PIECE] for w in found for s in range(0, max(1, len(w) - (PIECE - PIECE_STRIDE)), PIECE_STRIDE)]
 
 
 def trigrams(word: str) -> list[int]:
-    s = f"<{word[:40]}>"
+    s = f"<{word}>"
     return [zlib.crc32(s[i : i + 3].encode("utf-8", "surrogatepass")) % TRIGRAMS for i in range(len(s) - 2)]
 
 

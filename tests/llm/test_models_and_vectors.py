@@ -234,3 +234,20 @@ def test_pipeline(spark, tmp_path):
     assert max(kept["mixing"].count(i) for i in kept["mixing"]) <= 3 and set(kept["mixing"]) <= set(kept["near_duplicates"])
     assert sorted(kept["encode"]) == sorted(kept["mixing"])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(kept["encode"])
+
+
+def test_long_runs_of_letters_are_read_whole():
+    import numpy as np
+
+    from relweave.llm import toxicity as T
+
+    run = "".join(chr(0x4E00 + i) for i in range(500))
+    for n in (1, 40, 41, 70, 71, 500):
+        pieces = T.words_of("a " + run[:n])[1:]
+        assert all(len(p) <= T.PIECE for p in pieces)
+        assert {run[i : i + 3] for i in range(n - 2)} <= {p[i : i + 3] for p in pieces for i in range(len(p) - 2)}
+    rng = np.random.default_rng(2)
+    words = [[f"w{rng.integers(50)}" for _ in range(12)] for _ in range(40)]
+    model = T.fit(words, np.arange(40) % 2, ["w1", "w2"], np.array([1.0, -1.0]), updates=3, batch=8)
+    plain, other = T._Scorer(model).scores([run, run[:450] + "horrid" + run[456:]])
+    assert plain != other
