@@ -215,8 +215,7 @@ def gf2_bases_wide(spark, sf_dir):
 
 
 def gf2_bases_offsets(spark, sf_dir):
-    blobs = source_blobs(spark, sf_dir).where("dataset_id in ('src0', 'src1')")
-    return bases.bases(blobs, C.configurations(offsets=C.ALL_OFFSETS)).select("dataset_id", "width", "offset", "affine", "n_rows", "rank", "n_relations")
+    return bases.bases(source_blobs(spark, sf_dir), C.configurations(offsets=C.ALL_OFFSETS)).select("dataset_id", "width", "offset", "affine", "n_rows", "rank", "n_relations")
 
 
 # reshaping and the size model

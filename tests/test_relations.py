@@ -200,3 +200,16 @@ def test_codec_sizes(spark):
     df = G.to_frame(spark, [G.Dataset("a", b"a" * 1000)]).select("dataset_id", "bytes")
     rows = codec_sizes.codec_sizes(df).collect()
     assert len(rows) == 6 and all(r["bytes"] is None or r["bytes"] < 100 for r in rows)
+
+
+def _few_documents(spark, path):
+    rows = [(i, f"text {i} of a source named otherwise " * 3, f"other{i % 3}") for i in range(6)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_all_sources_are_searched_at_all_phases(spark, tmp_path):
+    from relweave.plans.queries import QUERIES
+
+    got = QUERIES["gf2_bases_offsets"](spark, _few_documents(spark, tmp_path)).select("dataset_id").distinct().collect()
+    assert {r["dataset_id"] for r in got} == {"other0", "other1", "other2"}
