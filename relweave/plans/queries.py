@@ -274,20 +274,25 @@ def planted_containers(spark, sf_dir):
     return out.select("dataset_id", "kind", "n_relations", F.octet_length("bytes").cast("long").alias("container_bytes"))
 
 
+def _all_sets(spark, sf_dir) -> DataFrame:
+    """The sources' texts and the planted datasets."""
+    return materialize(source_blobs(spark, sf_dir).unionByName(_planted(spark).select("dataset_id", "bytes")), "sets")
+
+
 def container_roundtrip(spark, sf_dir):
-    sets = materialize(source_blobs(spark, sf_dir).unionByName(_planted(spark).select("dataset_id", "bytes")), "sets")
+    sets = _all_sets(spark, sf_dir)
     made = materialize(containers.encode_best(sets), "made")
     return containers.round_trips(sets, made)
 
 
 def container_accounting(spark, sf_dir):
-    made = containers.encode_best(_planted(spark).select("dataset_id", "bytes"))
+    made = containers.encode_best(_all_sets(spark, sf_dir))
     return made.select("dataset_id", "kind", "config", "n_relations", "recovered_bits", F.octet_length("bytes").cast("long").alias("container_bytes"), "account.*")
 
 
 def size_model_matches(spark, sf_dir):
     """Closed-form sizes against the built containers."""
-    sets = materialize(_planted(spark).select("dataset_id", "bytes"), "sets")
+    sets = _all_sets(spark, sf_dir)
     made = containers.encode_best(sets).select("dataset_id", F.octet_length("bytes").cast("long").alias("built"))
     return containers.best_configurations(sets).select("dataset_id", "container_bytes").join(made, "dataset_id").select("dataset_id", (F.col("built") == F.col("container_bytes")).alias("ok"))
 
@@ -312,13 +317,13 @@ def stock_codec_sizes(spark, sf_dir):
 
 
 def composed_gap(spark, sf_dir):
-    sets = _planted(spark).select("dataset_id", "bytes")
+    sets = _all_sets(spark, sf_dir)
     made = materialize(containers.encode_best(sets), "made")
     return metrics.gaps(codec_sizes.codec_sizes(sets).unionByName(codec_sizes.codec_sizes(made, "composed")))
 
 
 def composed_roundtrip(spark, sf_dir):
-    sets = _planted(spark).select("dataset_id", "bytes")
+    sets = _all_sets(spark, sf_dir)
     return codec_sizes.composed_roundtrips(materialize(containers.encode_best(sets), "made"), sets)
 
 
@@ -400,8 +405,8 @@ def check_claims(spark, sf_dir):
 
 
 def harness(spark, sf_dir):
-    sets = _planted(spark).select("dataset_id", "bytes")
-    out = ledger.measure(sets, "planted")
+    sets = _all_sets(spark, sf_dir)
+    out = ledger.measure(sets, "all")
     return out.select("dataset_id", "codec_kind", "n_relations", "total_encoded_bytes", "roundtrip_ok", "accounting_ok", "composed_roundtrip_ok", "claim_a", "claim_b", "claim_c", "meaningful")
 
 

@@ -213,3 +213,13 @@ def test_all_sources_are_searched_at_all_phases(spark, tmp_path):
 
     got = QUERIES["gf2_bases_offsets"](spark, _few_documents(spark, tmp_path)).select("dataset_id").distinct().collect()
     assert {r["dataset_id"] for r in got} == {"other0", "other1", "other2"}
+
+
+@pytest.mark.parametrize("name", ["container_accounting", "size_model_matches", "composed_gap", "composed_roundtrip", "harness"])
+def test_container_queries_read_the_tables(spark, tmp_path, name):
+    from relweave.plans.queries import QUERIES
+
+    got = QUERIES[name](spark, _few_documents(spark, tmp_path)).collect()
+    assert {"other0", "other1", "other2"} < {r["dataset_id"] for r in got}
+    for passed in ("ok", "all_ok", "roundtrip_ok", "composed_roundtrip_ok"):
+        assert all(r[passed] for r in got if passed in r.__fields__)
