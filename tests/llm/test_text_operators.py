@@ -100,31 +100,15 @@ def test_prefix_bound_never_rejects_a_link():
             assert J._may_reach(len(x), len(y), sign(x), sign(y), 85, 100)
 
 
-def line_oracle(rows, num=80):
-    """Each text without the lines that match an earlier one, by comparing every pair."""
-    seen, out = [], []
-    for _, text in rows:
-        kept = []
-        for line in (text or "").split("\n"):
-            w = [x for x in re.split(r"[\x20\x09\x0b-\x0d]+", line) if x]
-            if len(line.strip(" ")) < 20:
-                kept.append(line)
-                continue
-            s = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
-            if not any(100 * len(s & o) >= num * len(s | o) for o in seen):
-                kept.append(line)
-            seen.append(s)
-        out.append("\n".join(kept) if text is not None else None)
-    return out
-
-
 def test_line_dedup(docs):
     from relweave.llm.line_dedup import dedup_lines
 
     one = docs.where("doc_id < 41").withColumn("row", F.lit("clash")).withColumn("h1", F.lit("clash"))
+    one = one.withColumn("gone", F.lit("clash")).withColumn("lines", F.lit("clash")).withColumn("__gone", F.lit("clash"))
     got = {r["doc_id"]: r["text"] for r in dedup_lines(one).collect()}
+    assert dedup_lines(one).columns == one.columns
     rows = sorted((r["doc_id"], r["text"]) for r in one.where("text is not null").collect())
-    assert [got[d] for d, _ in rows] == line_oracle(rows)
+    assert [got[d] for d, _ in rows] == word_set_oracle(rows)
     assert got[0] is None
 
 
@@ -138,11 +122,12 @@ def test_line_dedup_edges(spark, empty):
     assert got == sorted([(7, line, 0), (7, line, 0), (8, "", 1), (None, "short", 0), (9, None, 0)], key=str)
 
 
-def test_frequent_tokens_are_joined_by_rarity(spark, monkeypatch):
+@pytest.mark.parametrize("frequent,broadcast", [(3, 500_000), (0, 1), (10**6, 2)])
+def test_frequent_words_are_joined_in_twos(spark, monkeypatch, frequent, broadcast):
     from relweave.llm import line_dedup
 
-    monkeypatch.setattr(line_dedup, "FREQUENT", 3)
-    monkeypatch.setattr(line_dedup, "MANY_COPIES", 2)
+    monkeypatch.setattr(line_dedup, "FREQUENT", frequent)
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", broadcast)
     rnd = random.Random(5)
     common = [f"c{i}" for i in range(25)]
     rows = []
@@ -150,8 +135,11 @@ def test_frequent_tokens_are_joined_by_rarity(spark, monkeypatch):
         w = list(common) + [f"u{d}_{j}" for j in range(rnd.choice([1, 2, 9, 20]))]
         rows.append((d, " ".join(w)))
     rows += [(d, rows[d - 40][1]) for d in range(40, 50)]
+    rows += [(50, "one"), (51, "one one\none two"), (52, "two one one\none\nthree"), (53, "four two three one\none two three four five")]
+    few = [f"v{i}" for i in range(12)]
+    rows += [(d, "\n".join(" ".join(rnd.choice(few) for _ in range(rnd.randint(1, 12))) for _ in range(5))) for d in range(54, 90)]
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert [got[d] for d, _ in rows] == line_oracle(rows)
+    assert [got[d] for d, _ in rows] == word_set_oracle(rows)
 
 
 def test_sentencepiece_matches_the_library(docs, spark):
