@@ -3,10 +3,11 @@
 Texts with equal word sequences form a class; classes are joined. Under any one order of all shingles, two sets whose
 similarity reaches the threshold share a shingle among their first n - ceil(t n) + 1. The first order is by rarity (a
 count sketch of all shingles, ties by hash), so common shingles come last; two more orders are by independent hashes.
-A pair is a candidate if it shares a prefix shingle under the first order and its sizes allow the threshold. Under each
-other order both prefixes are then compared up to the lower of their ends, below which both are complete: what is
-missing on either side there bounds the intersection from above. Only pairs that every order lets through are verified
-on whole shingle sets; until then prefixes of 16-bit hashes travel, not texts.
+A pair is made only if it shares a prefix shingle of the first order, its sizes and the places of that shingle allow the
+threshold, and so do the bitmaps of both sets (a shingle flips one of ``PARITY`` bits, so at most as many bits differ as
+shingles do). Under each other order both prefixes are then compared up to the lower of their ends, below which both are
+complete: what is missing on either side there bounds the intersection from above. Only pairs that every order lets
+through are verified, on whole shingle sets; until then prefixes of 16-bit hashes travel, not texts.
 
 Large groups of copies. Verified pairs only matter as far as they connect classes, so a prefix shingle's classes are
 first compared with one of them each (the leader), in a few turns with other leaders; where that has put all classes of
@@ -15,14 +16,15 @@ components is compared. This loses no link: the components are those of all link
 
 Defined results: words are lower-cased (A-Z) and parted by ASCII white space; a text with fewer words than a shingle has
 one, its whole sequence; null, empty and blank texts have none and link with nothing; a null key has a null component
-and links with nothing; rows that repeat a key are one document; an empty table gives an empty table.
+and links with nothing; rows that repeat a key are compared each, and what any of them links with is in one component;
+an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -32,11 +34,13 @@ from relweave.runtime import materialize, release
 
 #: log2 of the counters of the rarity sketch; the driver holds one number for each.
 SKETCH_BITS = 17
-#: log2 of the bits of the Bloom filter that spares shuffling texts without any candidate.
-BLOOM_BITS = 24
 LEADERS = 4
 #: Turns of comparing with leaders before the remaining pairs across components are compared.
-TURNS = 4
+TURNS = 2
+#: Bits of a set's bitmap.
+PARITY = 256
+#: Keys up to which a set of them (tens of bytes each) is broadcast; beyond, it is joined by a shuffle.
+BROADCAST_ROWS = 500_000
 _ORDERS = (0x9FB21C651E98DF25, 0x2545F4914F6CDD1D)
 
 
@@ -73,124 +77,126 @@ def rarity_levels(counts: np.ndarray) -> np.ndarray:
     return np.where(hot, np.minimum(1 + np.log2(np.maximum(surplus, 1)).astype(np.int64), 31), 0).astype(np.uint64)
 
 
+def prefix_length(n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Shingles of a set's signature: the threshold's prefix, lengthened by two thirds so that its bound has force."""
+    return np.minimum(n, (n - -(-n * num // den)) * 5 // 3 + 8)
+
+
+def _bytes_each(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> list[bytes]:
+    raw, width = flat.tobytes(), flat.itemsize
+    return [raw[f : f + m] for f, m in zip((first * width).tolist(), (size * width).tolist(), strict=True)]
+
+
 def _prefixes(batches, k: int, num: int, den: int, levels: np.ndarray):
-    """Per text: the first n - ceil(t n) + 1 shingles under the first order, rarest first, as 52-bit tokens."""
+    """Per text: n, the first n - ceil(t n) + 1 shingles under the first order, rarest first, as 52-bit tokens, the first
+    shingles under each further order as sorted 16-bit numbers, and the bitmap."""
     for batch in batches:
         texts, keys = batch["__text"].tolist(), batch["__key"]
         for lo, hi in chunks(texts):
+            m = hi - lo
             hashes, ends = text_shingles(texts[lo:hi], k)
-            doc = np.repeat(np.arange(hi - lo, dtype=np.uint64), np.diff(np.r_[0, ends]))
+            doc = np.repeat(np.arange(m, dtype=np.uint64), np.diff(np.r_[0, ends]))
             level = levels[(hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
             key = np.sort(doc << np.uint64(52) | level << np.uint64(47) | mix(hashes) >> np.uint64(17))
             key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
-            doc = (key >> np.uint64(52)).astype(np.int64)
-            n = np.bincount(doc, minlength=hi - lo)
+            owner = key >> np.uint64(52)
+            doc, token = owner.astype(np.int64), key & np.uint64((1 << 52) - 1)
+            n = np.bincount(doc, minlength=m)
             first = np.cumsum(n) - n
-            place = np.arange(len(key)) - first[doc]
-            take = place < (n - -(-n * num // den) + 1)[doc]
-            token = (key & np.uint64((1 << 52) - 1)).astype(np.int64)[take]
-            cut = np.cumsum(np.bincount(doc[take], minlength=hi - lo))[:-1]
-            yield pd.DataFrame({"d": keys.iloc[lo:hi].to_numpy(), "n": n.astype(np.int32), "tokens": np.split(token, cut)})
-
-
-def _prefix_length(n: int, num: int, den: int) -> int:
-    """Shingles of a signature: the threshold's prefix, lengthened by two thirds so that its bound has force."""
-    return min(n, (n - -(-n * num // den)) * 5 // 3 + 8)
-
-
-def _signatures(batches, k: int, num: int, den: int):
-    """Per text: n and, for each further order, the first shingles as sorted 16-bit numbers."""
-    for batch in batches:
-        texts, keys = batch["__text"].tolist(), batch["__key"]
-        for lo, hi in chunks(texts):
-            flat, ends = distinct_sorted(*text_shingles(texts[lo:hi], k))
-            doc = np.repeat(np.arange(hi - lo, dtype=np.uint64), np.diff(np.r_[0, ends]))
-            n = np.diff(np.r_[0, ends])
-            size = np.array([_prefix_length(int(x), num, den) for x in n])
-            first = ends - n
-            out = {"d": keys.iloc[lo:hi].to_numpy(), "n": n.astype(np.int32)}
+            size = np.where(n > 0, n + 1 - -(-n * num // den), 0)
+            take = np.arange(len(key)) - first[doc] < size[doc]
+            out = {"d": keys.iloc[lo:hi].to_numpy(), "n": n.astype(np.int32), "tokens": np.split(token[take].astype(np.int64), np.cumsum(size)[:-1])}
+            long = prefix_length(n, num, den)
             for i, salt in enumerate(_ORDERS):
-                key = np.sort(doc << np.uint64(16) | mix(flat ^ np.uint64(salt)) >> np.uint64(48)) & np.uint64(0xFFFF)
-                low = key.astype("<u2")
-                out[f"s{i}"] = [low[f : f + m].tobytes() for f, m in zip(first.tolist(), size.tolist(), strict=True)]
-            yield pd.DataFrame(out)
-
-
-def _may_reach(nx: int, ny: int, x: bytes, y: bytes, num: int, den: int) -> bool:
-    """False only if the two prefixes prove that the sets cannot reach the threshold."""
-    p, q = np.frombuffer(x, dtype="<u2"), np.frombuffer(y, dtype="<u2")
-    end = min(int(p[-1]) if len(p) < nx else 1 << 16, int(q[-1]) if len(q) < ny else 1 << 16)
-    p, q = p[: np.searchsorted(p, end)], q[: np.searchsorted(q, end)]
-    both = len(np.intersect1d(p, q))
+                low = (np.sort(owner << np.uint64(16) | mix(token ^ np.uint64(salt)) >> np.uint64(48)) & np.uint64(0xFFFF)).astype("<u2")
+                out[f"s{i}"] = _bytes_each(low, first, long)
+            odd = np.bincount(doc * PARITY + (token & np.uint64(PARITY - 1)).astype(np.int64), minlength=m * PARITY) & 1
+            bits = np.packbits(odd.astype(np.uint8).reshape(m, PARITY), axis=1).view("<i8")
+            yield pd.DataFrame(out | {f"p{i}": bits[:, i] for i in range(PARITY // 64)})
+
+
+def _common(x: np.ndarray, x_of: np.ndarray, y: np.ndarray, y_of: np.ndarray, pairs: int) -> np.ndarray:
+    """For each pair the numbers that both its lists have; no list has one twice."""
+    value, owner = np.r_[x, y], np.r_[x_of, y_of]
+    order = np.lexsort((value, owner))
+    value, owner = value[order], owner[order]
+    return np.bincount(owner[1:][(value[1:] == value[:-1]) & (owner[1:] == owner[:-1])], minlength=pairs)
+
+
+def _flat(prefixes: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All prefixes' numbers, the pair of each, and each prefix's length."""
+    size = np.array([len(p) // 2 for p in prefixes], dtype=np.int64)
+    return np.frombuffer(b"".join(prefixes), dtype="<u2"), np.repeat(np.arange(len(prefixes)), size), size
+
+
+def may_reach(nx: np.ndarray, ny: np.ndarray, xs: list[bytes], ys: list[bytes], num: int, den: int) -> np.ndarray:
+    """For each pair, False only if its two prefixes prove that the sets cannot reach the threshold."""
+    m, sides = len(nx), []
+    for n, prefixes in ((nx, xs), (ny, ys)):
+        flat, of, size = _flat(prefixes)
+        last = np.full(m, 1 << 16, dtype=np.int64)
+        cut = (size < n) & (size > 0)
+        last[cut] = flat[np.cumsum(size)[cut] - 1]
+        sides.append((flat, of, np.where((size < n) & (size == 0), 0, last)))
+    end = np.minimum(sides[0][2], sides[1][2])
+    held, twice, rest = [], [], []
+    for n, (flat, of, _) in zip((nx, ny), sides, strict=True):
+        inside = flat < end[of]
+        flat, of = flat[inside], of[inside]
+        new = np.r_[True, (flat[1:] != flat[:-1]) | (of[1:] != of[:-1])] if len(flat) else np.zeros(0, dtype=bool)
+        held.append((flat[new], of[new]))
+        twice.append(np.bincount(of[~new], minlength=m))
+        rest.append(n - np.bincount(of, minlength=m))
     # a number that several shingles of a set share may stand for as many common ones: the bound only grows
-    both += max(len(p) - len(np.unique(p)), len(q) - len(np.unique(q)))
-    most = both + min(nx - len(p), ny - len(q))
+    most = _common(*held[0], *held[1], m) + np.maximum(*twice) + np.minimum(*rest)
     return most * (den + num) >= num * (nx + ny)
 
 
 def _pass(batches, num: int, den: int):
-    """The pairs that one further order lets through."""
+    """The pairs that every further order lets through."""
     for b in batches:
-        rows = zip(b["n_a"], b["n_b"], b["s_a"], b["s_b"], strict=True)
-        yield b.loc[[_may_reach(*r, num, den) for r in rows], ["a", "b"]]
+        nx, ny = b["n_a"].to_numpy().astype(np.int64), b["n_b"].to_numpy().astype(np.int64)
+        good = np.ones(len(b), dtype=bool)
+        for i in range(len(_ORDERS)):
+            some = np.flatnonzero(good)
+            good[some] = may_reach(nx[some], ny[some], b[f"s{i}_a"].iloc[some].tolist(), b[f"s{i}_b"].iloc[some].tolist(), num, den)
+        yield b.loc[good, ["a", "b"]]
 
 
 def _verify(batches, k: int, num: int, den: int):
     """The pairs whose whole sets reach the threshold."""
     for batch in batches:
-        for lo in range(0, len(batch), 256):
-            part = batch.iloc[lo : lo + 256]
+        size = batch["text_a"].str.len().fillna(0) + batch["text_b"].str.len().fillna(0)
+        for lo, hi in _parts(size.to_numpy()):
+            part = batch.iloc[lo:hi]
             m = len(part)
             flat, ends = distinct_sorted(*text_shingles(part["text_a"].tolist() + part["text_b"].tolist(), k))
-            sets = np.split(flat, ends[:-1])
-            good = []
-            for x, y in zip(sets[:m], sets[m:], strict=True):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both > 0 and both * den >= num * (len(x) + len(y) - both))
-            yield part.loc[good, ["a", "b"]]
-
-
-def _bloom(ids: DataFrame, col: str) -> np.ndarray:
-    """A Bloom filter of the ids: at most 2^(BLOOM_BITS - 6) numbers, however many ids there are."""
-    at = F.explode(F.array(*[F.shiftrightunsigned(F.xxhash64(F.lit(s), F.col(col).cast("string")), 64 - BLOOM_BITS) for s in (1, 2)]))
-    got = ids.select(at.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("m")).collect()
-    out = np.zeros(1 << (BLOOM_BITS - 6), dtype=np.int64)
-    for r in got:
-        out[r["w"]] = r["m"]
-    return out
-
-
-def _only(texts: DataFrame, bloom: np.ndarray) -> DataFrame:
-    """The rows of (d, text) whose key may be in the filter."""
-    spark = texts.sparkSession
-    words = spark.sparkContext.broadcast(bloom)
-    p = [F.shiftrightunsigned(F.xxhash64(F.lit(s), F.col("d").cast("string")), 64 - BLOOM_BITS).alias(f"p{s}") for s in (1, 2)]
-
-    def run(batches):
-        held = words.value
-        for batch in batches:
-            ok = np.ones(len(batch), dtype=bool)
-            for s in (1, 2):
-                at = batch[f"p{s}"].to_numpy()
-                ok &= (held[at >> 6] >> (at & 63)) & 1 == 1
-            yield batch.loc[ok, ["d", "text"]]
-
-    return texts.select("d", "text", *p).mapInPandas(run, texts.select("d", "text").schema)
-
-
-def _linked(pairs: DataFrame, texts: DataFrame, signatures: DataFrame, k: int, num: int, den: int) -> DataFrame:
+            n = np.diff(np.r_[0, ends])
+            of, half = np.repeat(np.arange(2 * m), n), ends[m - 1]
+            both = _common(flat[:half], of[:half], flat[half:], of[half:] - m, m)
+            yield part.loc[(both > 0) & (both * den >= num * (n[:m] + n[m:] - both)), ["a", "b"]]
+
+
+def _parts(size: np.ndarray, most: int = 2_000_000):
+    """Ranges of rows of about ``most`` characters."""
+    group = np.cumsum(size) // most
+    edge = np.r_[0, np.flatnonzero(group[1:] != group[:-1]) + 1, len(size)]
+    return [(lo, hi) for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True) if lo < hi]
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The verified ones of the candidate pairs (a, b), after the further orders' filters."""
-    for i in range(len(_ORDERS)):  # one order after the other: most pairs fail at the first
-        a, b = (signatures.select(F.col("d").alias(e), F.col("n").alias(f"n_{e}"), F.col(f"s{i}").alias(f"s_{e}")) for e in "ab")
-        kept = materialize(pairs.join(a, "a").join(b, "b").mapInPandas(lambda it: _pass(it, num, den), pairs.select("a", "b").schema), "nj")
-        if i:
-            release(pairs)
-        pairs = kept
+    orders = [f"s{i}" for i in range(len(_ORDERS))]
+    a, b = (classes.select(F.col("d").alias(e), *[F.col(c).alias(f"{c}_{e}") for c in ["n", *orders]]) for e in "ab")
+    pairs = materialize(pairs.join(a, "a").join(b, "b").mapInPandas(lambda it: _pass(it, num, den), pairs.select("a", "b").schema).distinct(), "nj")
+    ids = materialize(pairs.select(F.col("a").alias("d")).unionByName(pairs.select(F.col("b").alias("d"))).distinct(), "nj")
+    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    texts = materialize(docs.join(F.broadcast(ids) if few else ids, "d", "left_semi"), "nj")
     left = texts.select(F.col("d").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("d").alias("b"), F.col("text").alias("text_b"))
     whole = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    links = materialize(whole.mapInPandas(lambda it: _verify(it, k, num, den), pairs.select("a", "b").schema), "nj")
-    release(pairs)
+    links = materialize(whole.mapInPandas(lambda it: _verify(it, k, num, den), pairs.select("a", "b").schema).distinct(), "nj")
+    release(pairs), release(ids), release(texts)
     return links
 
 
@@ -205,71 +211,77 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", k
         counts[r["bucket"]] = r["n"]
     levels = rarity_levels(counts)
     rows = seen.where("bucket is null").select(F.col("d").cast(kind).alias("d"), "n", "c1", "c2")
-    classes = rows.where("n > 0 and d is not null").groupBy("c1", "c2").agg(F.min("d").alias("rep"))
+    classes = materialize(rows.where("n > 0 and d is not null").groupBy("c1", "c2").agg(F.min("d").alias("rep")), "nj")
+    rep = classes.select(F.col("rep").alias("d")).distinct()
 
-    # (token, class member, n, place) of every prefix shingle that at least two texts have
-    first = given.where("__key is not null").mapInPandas(lambda it: _prefixes(it, k, num, den, levels), "d string, n int, tokens array<long>")
-    rows_of = first.select(F.col("d").cast(kind).alias("d"), "n", F.posexplode("tokens").alias("place", "token"))
+    # a row a class: its prefixes under all orders and its bitmap
+    bitmap = [f"p{i}" for i in range(PARITY // 64)]
+    shape = "d string, n int, tokens array<long>, " + ", ".join([*(f"s{i} binary" for i in range(len(_ORDERS))), *(f"{p} long" for p in bitmap)])
+    first = given.where("__key is not null").mapInPandas(lambda it: _prefixes(it, k, num, den, levels), shape)
+    first = materialize(first.withColumn("d", F.col("d").cast(kind)).where("n > 0").join(rep, "d", "left_semi"), "nj")
+
+    # (token, d, place) of every prefix shingle that at least two of them have
+    rows_of = first.select("d", F.posexplode("tokens").alias("place", "token"))
     hot = F.shiftright("token", 47) > 0
     rows_of = rows_of.withColumn("salt", F.when(hot, F.pmod(F.xxhash64("d"), F.lit(1024))).otherwise(F.lit(0)).cast("int"))
     rows_of = rows_of.withColumn("same", F.count("*").over(Window.partitionBy("token", "salt"))).where((F.col("same") > 1) | hot)
-    rep = classes.select(F.col("rep").alias("d")).distinct()
-    shared = materialize(rows_of.select("token", "d", "n", "place").join(rep, "d", "left_semi"), "nj")
+    shared = materialize(rows_of.select("token", "d", "place"), "nj")
+
+    def can_match(x: str, y: str) -> Column:
+        """Whether the sizes, the places of the shingle and the bitmaps of two rows allow the threshold."""
+        n, m = F.col(f"{x}n"), F.col(f"{y}n")
+        fits = F.least(n, m) * den >= F.greatest(n, m) * num
+        reach = F.least(n - F.col(f"{x}place"), m - F.col(f"{y}place")) * (den + num) >= num * (n + m)
+        differ = sum((F.bit_count(F.col(f"{x}{p}").bitwiseXOR(F.col(f"{y}{p}"))) for p in bitmap), F.lit(0))
+        return fits & reach & ((n + m - differ) * (den + num) >= 2 * num * (n + m))
 
-    fits = lambda p, q: F.least(p, q) * den >= F.greatest(p, q) * num
-    reach = lambda p, i, q, j: F.least(p - i, q - j) * (den + num) >= num * (p + q)
+    held = ["d", "n", "place", "c", *bitmap]
+
+    def side(of: DataFrame, s: str) -> DataFrame:
+        return of.select("token", *[F.col(c).alias(f"{s}{c}") for c in held])
 
     def against_leaders(members: DataFrame, turn: int) -> DataFrame:
         """Candidate pairs of each shingle's members with one of them; few different leaders, so that pairs recur and fall together."""
         order = F.xxhash64(F.lit(turn), F.pmod(F.col("token"), F.lit(LEADERS)), "d")
-        lead = members.groupBy("token").agg(F.min(F.struct(order.alias("h"), "d", "n", "place", "c")).alias("lead"))
-        met = members.join(lead, "token").where((F.col("c") != F.col("lead.c")) & fits(F.col("n"), F.col("lead.n")) & reach(F.col("n"), F.col("place"), F.col("lead.n"), F.col("lead.place")))
-        return materialize(met.select(F.least("d", "lead.d").alias("a"), F.greatest("d", "lead.d").alias("b")).distinct(), "nj")
+        lead = members.groupBy("token").agg(F.min_by("d", order).alias("lead"))
+        lead = members.join(lead, "token").where("d = lead").drop("lead")
+        return pairs_of(side(members, "x_").join(side(lead, "y_"), "token").where((F.col("x_c") != F.col("y_c")) & can_match("x_", "y_")))
+
+    def pairs_of(met: DataFrame) -> DataFrame:
+        return materialize(met.select(F.least("x_d", "y_d").alias("a"), F.greatest("x_d", "y_d").alias("b")).distinct(), "nj")
 
     def still_open(members: DataFrame, part: DataFrame | None) -> DataFrame:
         """The members of shingles whose classes lie in several components, with their components c."""
         own = F.col("d") if part is None else F.coalesce("component_id", "d")
-        placed = members.select("token", "d", "n", "place") if part is None else members.select("token", "d", "n", "place").join(part.select(F.col("node").alias("d"), "component_id"), "d", "left")
-        placed = placed.select("token", "d", "n", "place", own.alias("c"))
+        placed = members.select("token", "d", "place") if part is None else members.select("token", "d", "place").join(part.select(F.col("node").alias("d"), "component_id"), "d", "left")
+        placed = placed.select("token", "d", "place", own.alias("c"))
         open_ = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("token")
-        return materialize(placed.join(open_, "token", "left_semi"), "nj")
+        placed = placed.join(open_, "token", "left_semi").join(first.select("d", "n", *bitmap), "d")
+        return materialize(placed.select("token", *held), "nj")
 
     rest = still_open(shared, None)
     release(shared)
-    texts = _only(docs, _bloom(rest.select("d").distinct(), "d"))
-    texts = materialize(texts.join(rep, "d", "left_semi").distinct(), "nj")
-    given = texts.select(F.col("d").cast("string").alias("__key"), F.col("text").alias("__text"))
-    signed = given.mapInPandas(lambda it: _signatures(it, k, num, den), "d string, n int, s0 binary, s1 binary")
-    signed = materialize(signed.withColumn("d", F.col("d").cast(kind)), "nj")
 
+    # rows of one key connect their classes
+    own = rows.where("n > 0 and d is not null").join(classes, ["c1", "c2"]).select("d", "rep").groupBy("d").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("reps"))
+    links = materialize(own.where(F.size("reps") > 1).select("a", F.explode("reps").alias("b")), "nj")
     # against leaders, in turns: each time only shingles whose classes are not connected yet
-    links, pairs, part = None, None, None
+    part = None
     for turn in range(TURNS):
         met = against_leaders(rest, turn)
-        new = _linked(met, texts, signed, k, num, den)
-        pairs = met if pairs is None else pairs.unionByName(met)
-        if turn and new.isEmpty():
-            break
-        links = new if links is None else links.unionByName(new)
+        links = links.unionByName(_linked(met, docs, first, k, num, den))
+        release(met), release(part)
         part = materialize(connected_components(links), "nj")
         before, rest = rest, still_open(rest, part)
         release(before)
 
     # what is open then: all pairs across components
-    x, y = (rest.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("d", "n", "place", "c")]) for s in "xy")
-    met = x.join(y, "token").where((F.col("d_x") < F.col("d_y")) & (F.col("c_x") != F.col("c_y")) & fits(F.col("n_x"), F.col("n_y")))
-    # what can still be shared from the first common shingle on
-    met = met.where(reach(F.col("n_x"), F.col("place_x"), F.col("n_y"), F.col("place_y")))
-    more = met.select(F.col("d_x").alias("a"), F.col("d_y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    late = _linked(more, texts, signed, k, num, den)
-    if late.isEmpty():
-        whole = part
-    else:
-        whole = materialize(connected_components(links.unionByName(late)), "nj")
-        release(part)
-    for done in (texts, signed, rest, late):
-        release(done)
+    x, y = side(rest, "x_"), side(rest, "y_")
+    met = pairs_of(x.join(y, "token").where((F.col("x_d") < F.col("y_d")) & (F.col("x_c") != F.col("y_c")) & can_match("x_", "y_")))
+    links = links.unionByName(_linked(met, docs, first, k, num, den))
+    release(met), release(rest), release(first), release(part)
+    whole = materialize(connected_components(links), "nj")
     member = classes.join(whole.select(F.col("node").alias("rep"), "component_id"), "rep", "left").select("c1", "c2", F.coalesce("component_id", "rep").alias("component_id"))
     out = rows.join(member, ["c1", "c2"], "left")
-    own = F.when(F.col("d").isNull(), F.lit(None)).otherwise(F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("d")))
+    own = F.when(F.col("d").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("d")))
     return out.select(F.col("d").alias(key), F.col("n").alias("n_shingles"), own.alias("component_id"))
