@@ -3,7 +3,7 @@
 Each source's texts stand in a seeded order, and its words are cut into blocks of ``block`` words. Targets: all words
 are shared by weight; a source gets at most ``most`` times its own words, what is left over is shared again by weight
 among the others. Blocks go to sources by the highest quotients target / (2 s + 1). A source's quota is whole passes
-over its blocks and a rest; the rest is apportioned to shards (runs of its blocks) by the same rule, and within each
+over its words and a rest in blocks; the rest is apportioned to shards (runs of its blocks) by the same rule, and within each
 shard a seeded bijection of block numbers chooses that many blocks. What is taken of a text is the words of its chosen
 blocks, once for every pass.
 
@@ -37,23 +37,34 @@ def n_words(text: Column) -> Column:
 def apportion(df: DataFrame, groups: list[str], weight: str, seats: str, out: str, cap: str | None = None) -> DataFrame:
     """Sainte-Lague: ``seats`` of each group to its rows by the highest quotients weight / (2 s + 1), at most ``cap`` each.
 
-    Starts from rounding at the standard divisor, which is within a few seats of the answer, and settles the rest by
-    ranking the next quotients. Ties go to the row that comes first by ``__order``.
+    Under a divisor, a row has its weight by the divisor, rounded, as seats. A few steps move each group's divisor to where
+    the seats nearly add up; whatever is then still missing or too many bounds what any row has to change, since all rows
+    change in one direction. Exactly those quotients are ranked. Ties go to the row that comes first by ``__order``.
     """
     by = Window.partitionBy(*groups)
-    total = F.sum(weight).over(by)
-    share = F.when(total > 0, F.col(weight) / total * F.col(seats)).otherwise(F.lit(0.0))
-    df = df.withColumn("__start", F.greatest(F.floor(share + 0.5) - 2, F.lit(0)).cast("long"))
-    if cap:
-        df = df.withColumn("__start", F.least("__start", cap))
+    most = F.col(cap) if cap else F.col(seats)
+    got = F.when(F.col("__div") > 0, F.least(F.floor(F.col(weight) / F.col("__div") + 0.5), most)).otherwise(F.lit(0)).cast("long")
+    held = df.columns
+    df = df.withColumn("__div", F.sum(weight).over(by) / F.greatest(F.col(seats), F.lit(1)))
+    for _ in range(4):
+        df = df.withColumn("__got", got).withColumn("__free", F.col("__got") < most)
+        free = lambda x: F.sum(F.when(F.col("__free"), F.col(x)).otherwise(F.lit(0))).over(by)
+        df = df.withColumn("__w", free(weight)).withColumn("__t", free("__got")).withColumn("__want", F.col(seats) - F.sum("__got").over(by) + F.col("__t"))
+        # seats of the free rows grow as their weight by the divisor; rounding adds what it adds now
+        near = F.col("__want") - F.col("__t") + F.col("__w") / F.col("__div")
+        df = df.withColumn("__div", F.when((F.col("__div") > 0) & (F.col("__w") > 0) & (near > 0), F.col("__w") / near).otherwise(F.col("__div")))
+        df = df.select(*held, "__div")
+    df = df.withColumn("__got", got)
+    # one more on either side, for quotients that rounding of floats puts on the other side of a half
+    df = df.withColumn("__off", F.abs(F.col(seats) - F.sum("__got").over(by)) + 1)
+    df = df.withColumn("__start", F.greatest(F.col("__got") - F.col("__off"), F.lit(0)))
     df = df.withColumn("__left", F.col(seats) - F.sum("__start").over(by))
-    step = df.withColumn("__s", F.explode(F.sequence(F.col("__start"), F.col("__start") + 5)))
-    if cap:
-        step = step.where(F.col("__s") < F.col(cap))
+    step = df.where(F.col(weight) > 0).withColumn("__s", F.explode(F.sequence(F.col("__start"), F.col("__got") + F.col("__off"))))
+    step = step.where(F.col("__s") < most)
     step = step.withColumn("__rank", F.row_number().over(by.orderBy(F.desc(F.col(weight) / (2 * F.col("__s") + 1)), "__order", "__s")))
-    extra = step.where((F.col("__rank") <= F.col("__left")) & (F.col(weight) > 0)).groupBy(*groups, "__order").agg(F.count("*").alias("__extra"))
+    extra = step.where(F.col("__rank") <= F.col("__left")).groupBy(*groups, "__order").agg(F.count("*").alias("__extra"))
     joined = df.join(extra, [*groups, "__order"], "left") if groups else df.join(extra, "__order", "left")
-    return joined.withColumn(out, F.col("__start") + F.coalesce("__extra", F.lit(0))).drop("__start", "__left", "__extra")
+    return joined.select(*held, (F.col("__start") + F.coalesce("__extra", F.lit(0))).alias(out))
 
 
 def source_targets(sizes: DataFrame, weights: list[float], most: float) -> DataFrame:
@@ -80,13 +91,14 @@ def source_targets(sizes: DataFrame, weights: list[float], most: float) -> DataF
     return t.select("__source", "source_size", "__order", "__weight", target.alias("target"))
 
 
-def _step(n: Column) -> Column:
-    """A number that has no common factor with n (one of a few primes): x * step + c modulo n runs through all of 0..n-1."""
-    primes = [104_729, 1_299_709, 15_485_863, 32_452_843]  # n * prime stays far below 2^63
-    out = F.lit(1)
-    for p in primes:
-        out = F.when(F.pmod(n, F.lit(p)) != 0, F.lit(p)).otherwise(out)
-    return out.cast("long")
+#: Steps of the seeded bijections of block numbers: x * step + turn runs through all of 0..n-1 where n is no multiple of step.
+PRIMES = [104_729, 1_299_709, 15_485_863, 32_452_843, 49_979_687, 67_867_967, 86_028_121, 104_395_301]
+
+
+def _step(n: Column, h: Column) -> Column:
+    """A prime chosen by the hash among those that do not divide n; n times any of them stays far below 2^63."""
+    fit = F.filter(F.array(*[F.lit(p).cast("long") for p in PRIMES]), lambda p: F.pmod(n, p) != 0)
+    return F.get(fit, F.pmod(h, F.size(fit).cast("long")).cast("int"))
 
 
 def mix_sources(
@@ -108,19 +120,25 @@ def mix_sources(
     t = t.withColumn("__blocks", F.ceil(F.col("source_size") / block)).withColumn("__cap", F.col("__blocks") * most)
     t = t.withColumn("__all", F.floor(F.sum("target").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) / block + 0.5))
     t = apportion(t.withColumn("__one", F.lit(1)), ["__one"], "target", "__all", "__quota", "__cap").drop("__one")
-    t = t.withColumn("__passes", F.when(F.col("__blocks") > 0, F.expr("__quota div __blocks")).otherwise(F.lit(0)))
-    t = t.withColumn("__rest", F.col("__quota") - F.col("__passes") * F.col("__blocks"))
+    # a quota's words: whole passes over the source, and a rest in blocks
+    words = F.least(F.col("__quota") * block, F.col("source_size") * most)
+    t = t.withColumn("__words", words).withColumn("__passes", F.when(F.col("source_size") > 0, F.expr("__words div source_size")).otherwise(F.lit(0)))
+    t = t.withColumn("__rest", F.floor((F.col("__words") - F.col("__passes") * F.col("source_size")) / block + 0.5).cast("long"))
+    t = t.withColumn("__rest", F.when(F.col("__passes") < most, F.least("__rest", "__blocks")).otherwise(F.lit(0))).drop("__words")
     # the rest of the quota over shards, each a run of the source's blocks
     s = t.select("__source", "__order", "__blocks", "__rest", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("__shard"))
     edge = lambda k: F.expr(f"(__blocks * ({k})) div {shards}")
     s = s.withColumn("__from", edge("__shard")).withColumn("__n", edge("__shard + 1") - F.col("__from"))
     s = s.select(F.col("__order").alias("__src"), F.col("__shard").cast("long").alias("__order"), "__from", "__n", "__rest")
     s = apportion(s, ["__src"], "__n", "__rest", "__take", "__n")
-    s = s.groupBy(F.col("__src").alias("__order")).agg(F.array_sort(F.collect_list(F.struct(F.col("__order").alias("shard"), "__from", "__n", "__take"))).alias("__shards"))
+    n = F.greatest(F.col("__n"), F.lit(1)).cast("long")
+    drawn = lambda what: F.xxhash64(F.lit(seed), F.lit(what), "__src", "__order")
+    s = s.withColumn("step", F.pmod(_step(n, drawn(1)), n)).withColumn("turn", F.pmod(drawn(2), n))
+    s = s.groupBy(F.col("__src").alias("__order")).agg(F.array_sort(F.collect_list(F.struct(F.col("__order").alias("shard"), "__from", "__n", "__take", "step", "turn"))).alias("__shards"))
     t = t.join(s, "__order").drop("__weight", "__cap", "__all")
     plan = runs.select(F.col("__source").alias("__s"), F.col("__run").alias("__r"), "__base")
     # a row a source: Spark broadcasts it where its measured size is small, and else splits the hot source
-    t = t.select(F.col("__source").alias("__t"), "source_size", "target", "__blocks", "__passes", "__rest", "__shards", F.col("__order").alias("__o"))
+    t = t.select(F.col("__source").alias("__t"), "source_size", "target", "__blocks", "__passes", "__rest", "__shards")
     # where each text's words lie in the order of its source
     inside = Window.partitionBy("__source", "__run").orderBy("__hash", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = slim.withColumn("__ahead", F.coalesce(F.sum("size").over(inside), F.lit(0)))
@@ -134,10 +152,7 @@ def mix_sources(
         # the first shard whose end, blocks * (k + 1) div shards, lies behind b
         k = F.ceil((b + 1) * shards / F.col("__blocks")) - 1
         mine = F.get("__shards", F.least(k, F.lit(shards - 1)).cast("int"))
-        n = mine["__n"]
-        local = b - mine["__from"]
-        turn = F.pmod(F.xxhash64(F.lit(seed), F.col("__o"), mine["shard"]), n)
-        return F.pmod(local * F.pmod(_step(n), n) + turn, n) < mine["__take"]
+        return F.pmod((b - mine["__from"]) * mine["step"] + mine["turn"], mine["__n"]) < mine["__take"]
 
     overlap = lambda b: F.least(F.col("__pos") + F.col("size"), (b + 1) * block) - F.greatest(F.col("__pos"), b * block)
     picked = F.aggregate(F.sequence(first, last), F.lit(0).cast("long"), lambda acc, b: acc + F.when(chosen(b), overlap(b)).otherwise(F.lit(0)).cast("long"))
