@@ -3,7 +3,7 @@
 Every pair of a preferred (label 1) and a rejected (label 0) document is a comparison; the strength of a document is
 linear in its text features, so a pair's chance is the logistic function of the feature difference. ``fit`` draws a
 fixed number of pairs (seeded) and minimises the logistic loss with an L2 penalty by Newton's method. The threshold is
-a quantile of the labelled strengths: the share of rejected documents among them; it is mapped to the score 0.3.
+a quantile of the strengths of all labelled documents: the share of rejected ones; it is mapped to the score 0.3.
 
 Features are counts of the whole text alone: characters by kind, words, repetition, and the worst block of 64 words.
 
@@ -14,7 +14,8 @@ table; other columns are no inputs, whatever their names.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relweave.llm.shingles import chunks, shingle_hashes, word_hashes
+from relweave.runtime import materialize, release
 
 #: Labelled documents that a model is fitted on at most, the first by a hash of their key.
 TRAIN_ROWS = 20_000
@@ -44,7 +46,7 @@ def _segments(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def features(texts: list[str | None]) -> np.ndarray:
     """A row of numbers for each whole text."""
-    return np.concatenate([_features(texts[lo:hi]) for lo, hi in chunks(texts, 1_000_000)]) if texts else np.zeros((0, len(NAMES)))
+    return np.concatenate([_features(texts[lo:hi]) for lo, hi in chunks(texts, 500_000)]) if texts else np.zeros((0, len(NAMES)))
 
 
 NAMES = [
@@ -144,29 +146,53 @@ def fit(x: np.ndarray, label: np.ndarray, pairs: int = PAIRS, penalty: float = 1
 
 
 def train(docs: DataFrame, labels: DataFrame, learn, key: str = "doc_id", text: str = "text", label: str = "quality", rows: int = TRAIN_ROWS) -> QualityModel:
-    """A model from the labelled documents for whose key the condition ``learn(column)`` holds; at most ``rows`` of them."""
-    chosen = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & learn(F.col(key))).select(F.col(key).alias("__key"), F.col(label).cast("int").alias("__label"))
-    chosen = chosen.orderBy(F.xxhash64("__key"), "__key", "__label").limit(rows)  # at most `rows` rows of two numbers: safe to broadcast
-    source = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(chosen), "__key")
+    """A model from the labelled documents for whose key the condition ``learn(column)`` holds.
+
+    Weights come from at most ``rows`` of them, the threshold from the strengths of all.
+    """
+    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & learn(F.col(key))).select(F.col(key).alias("id"), F.col(label).cast("int").alias("label")).distinct()
+    chosen = known.orderBy(F.xxhash64("id"), "id", "label").limit(rows)  # at most `rows` rows of two numbers: safe to broadcast
+    texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    # of rows that repeat a key one is learned from: a bounded number of rows reaches the driver
+    source = texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def run(batches):
         for batch in batches:
-            yield pd.DataFrame({"key": batch["__key"], "label": batch["__label"], "x": list(features(batch["__text"].tolist()))})
+            yield pd.DataFrame({"key": batch["id"], "label": batch["label"], "x": list(features(batch["text"].tolist()))})
 
-    got = source.mapInPandas(run, "key long, label int, x array<double>").limit(2 * rows).toPandas()
+    got = source.select(F.col("id").cast("string"), "label", "text").mapInPandas(run, "key string, label int, x array<double>").toPandas()
     if not len(got):
         return fit(np.zeros((0, len(NAMES))), np.zeros(0))
     x = np.stack(got["x"].to_numpy())
     order = np.lexsort((*x.T, got["label"].to_numpy(), got["key"].to_numpy()))
-    return fit(x[order], got["label"].to_numpy()[order])
+    model = fit(x[order], got["label"].to_numpy()[order])
+    if not model.weight.any():
+        return model
+    return replace(model, cut=_cut(texts.join(known, "id").select("label", _per_text(model.strength)("text").alias("strength"))))
 
 
-def score_documents(docs: DataFrame, model: QualityModel, text: str = "text", out: str = "score", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (or its columns ``keep``) with the score of each whole text."""
-    kept = [c for c in (keep or docs.columns) if c != out]
+def _cut(labelled: DataFrame) -> float:
+    """The strength that as large a share of the rows lies below as is rejected: the middle between its neighbours."""
+    held = materialize(labelled, "quality")
+    share = held.agg(F.avg(1 - F.col("label"))).first()[0]
+    below = held.agg(F.percentile_approx("strength", F.lit(float(share)), F.lit(1_000_000))).first()[0]
+    above = held.where(F.col("strength") > below).agg(F.min("strength")).first()[0]
+    release(held)
+    return below if above is None else (below + above) / 2
 
-    def run(batches):
+
+def _per_text(of):
+    """A column function of texts: ``of`` (features, a row a text, to numbers). Only texts go to Python."""
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.drop(columns="__text").assign(**{out: model.score(features(batch["__text"].tolist()))})
+            yield pd.Series(of(features(batch.tolist())), dtype="float64")
+
+    return run
+
 
-    return docs.select(*kept, F.col(text).alias("__text")).mapInPandas(run, docs.select(*kept).schema.add(out, "double"))
+def score_documents(docs: DataFrame, model: QualityModel, text: str = "text", out: str = "score", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with the score of each whole text."""
+    kept = [c for c in (keep or docs.columns) if c != out]
+    return docs.select(*kept, _per_text(model.score)(F.col(text)).alias(out))

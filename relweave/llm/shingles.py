@@ -35,7 +35,7 @@ def _power(n: int) -> np.ndarray:
     return _powers
 
 
-def chunks(texts: list[str | None], chars: int = 1_500_000, rows: int = 4096) -> Iterator[tuple[int, int]]:
+def chunks(texts: list[str | None], chars: int = 600_000, rows: int = 4096) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``chars`` characters and at most ``rows`` rows."""
     lo = held = 0
     for i, t in enumerate(texts):

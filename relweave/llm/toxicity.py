@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relweave.llm.shingles import chunks
+from relweave.runtime import materialize, release
 
 TRAIN_ROWS = 12_000
 WINDOWS_A_ROW = 3
@@ -210,9 +212,12 @@ def fit(windows: list[list[str]], label: np.ndarray, vocabulary: list[str], tell
 
 def train(docs: DataFrame, labels: DataFrame, learn, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = TRAIN_ROWS) -> ToxicityModel | None:
     """A model from the labelled documents for whose key ``learn(column)`` holds; None without both labels."""
-    chosen = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & learn(F.col(key))).select(F.col(key).alias("__key"), F.col(label).cast("int").alias("__label"))
+    chosen = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & learn(F.col(key))).select(F.col(key).alias("__key"), F.col(label).cast("int").alias("__label")).distinct()
     chosen = chosen.orderBy(F.xxhash64("__key"), "__key", "__label").limit(rows)  # at most `rows` rows of two numbers: safe to broadcast
     source = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(chosen), "__key")
+    # of rows that repeat a key one is learned from: a bounded number of windows reaches the driver
+    source = source.groupBy("__key", "__label").agg(F.min_by("__text", F.xxhash64("__text")).alias("__text"))
+    source = materialize(source.select(F.col("__key").cast("string"), "__label", "__text"), "toxicity")
 
     def spread(batches):
         for batch in batches:
@@ -223,6 +228,7 @@ def train(docs: DataFrame, labels: DataFrame, learn, key: str = "doc_id", text:
     counted = source.mapInPandas(spread, "word string, label int, n long").groupBy("word").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("c"))
     total = counted.where("word = ''").first()
     if total is None or not total["t"] or not total["c"]:
+        release(source)
         return None
     big_t, big_c = float(total["t"]), float(total["c"])
     odds = F.log((F.col("t") + 0.5) / (F.lit(big_t) - F.col("t") + 0.5)) - F.log((F.col("c") + 0.5) / (F.lit(big_c) - F.col("c") + 0.5))
@@ -246,7 +252,8 @@ def train(docs: DataFrame, labels: DataFrame, learn, key: str = "doc_id", text:
                 out += [(k, y, i, many[i]) for i in sorted(set(take))]
             yield pd.DataFrame(out, columns=["key", "label", "at", "words"])
 
-    got = source.mapInPandas(draw, "key long, label int, at long, words array<string>").limit(2 * WINDOWS_A_ROW * rows).toPandas()
+    got = source.mapInPandas(draw, "key string, label int, at long, words array<string>").toPandas()
+    release(source)
     if not len(got):
         return None
     got = got.assign(joined=got["words"].map(" ".join)).sort_values(["key", "label", "at", "joined"])
@@ -291,13 +298,14 @@ class _Scorer:
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel | None, text: str = "text", out: str = "score", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (or its columns ``keep``) with the toxicity score of each whole text."""
+    """``docs`` (or its columns ``keep``) with the toxicity score of each whole text; only texts go to Python."""
     kept = [c for c in (keep or docs.columns) if c != out]
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = _Scorer(held.value)
         for batch in batches:
-            yield batch.drop(columns="__text").assign(**{out: scorer.scores(batch["__text"].tolist())})
+            yield pd.Series(scorer.scores(batch.tolist()), dtype="float64")
 
-    return docs.select(*kept, F.col(text).alias("__text")).mapInPandas(run, docs.select(*kept).schema.add(out, "double"))
+    return docs.select(*kept, score(F.col(text)).alias(out))
