@@ -20,14 +20,18 @@ from relweave.llm import quality
 from relweave.llm.jaccard_join import jaccard_components
 from relweave.llm.line_dedup import dedup_lines
 from relweave.llm.mixing import mix_sources
+from relweave.llm.names import unused
 from relweave.llm.sentencepiece_codec import token_digests
-from relweave.runtime import materialize
+from relweave.runtime import materialize, release
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), lambda key: F.lit(True))
-    scored = quality.score_documents(docs, model, out="__score")
-    return scored.where(F.col("__score") >= quality.THRESHOLD).select(*docs.columns)
+    # one label in five is held out, as in op2_quality
+    learn = lambda key: F.pmod(F.crc32(F.encode(key.cast("string"), "UTF-8")), F.lit(5)) != 0
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), learn)
+    (score,) = unused(docs, "score")
+    scored = quality.score_documents(docs, model, out=score)
+    return scored.where(F.col(score) >= quality.THRESHOLD).select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +41,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     linked = jaccard_components(docs)
-    kept = linked.where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
+    kept = linked.where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept"]), "left_semi")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +50,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     # whole documents: the share of a text that the mix takes, rounded up or down by a seeded hash
     chance = F.pmod(F.xxhash64(F.lit(23), "doc_id", "text"), F.lit(1_000_000)) / 1_000_000
     copies = F.floor(F.col("taken") / F.col("size") + chance).cast("int")
-    return mixed.where("taken > 0").withColumn("__copy", F.explode(F.sequence(F.lit(0), copies))).where("__copy > 0").select(*docs.columns)
+    (copy,) = unused(docs, "copy")
+    return mixed.where("taken > 0").withColumn(copy, F.explode(F.sequence(F.lit(0), copies))).where(F.col(copy) > 0).select(*docs.columns)
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,5 +76,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; the last one's rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
