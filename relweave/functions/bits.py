@@ -82,6 +82,11 @@ class BitWriter:
         return data, {f"{k}_bits": v for k, v in self.account.items()}
 
 
+def merge_accounts(*accounts: dict[str, int]) -> dict[str, int]:
+    """The sum of several accounts, by category."""
+    return {c: sum(a.get(c, 0) for a in accounts) for c in dict.fromkeys(k for a in accounts for k in a)}
+
+
 class BitReader:
     def __init__(self, data: bytes):
         self.all = bits_from_bytes(data)

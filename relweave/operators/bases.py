@@ -24,6 +24,11 @@ _STATE = "dataset_id string, width int, offset int, n_rows long, rows array<arra
 _BASIS = "dataset_id string, width int, offset int, affine boolean, n_rows long, rank int, n_relations int, coeff_width int, pivots array<int>, free array<int>, masks array<array<bigint>>, const array<boolean>"
 
 
+def xor_rows(rows: DataFrame, by: list[str], n_words: int) -> DataFrame:
+    """The sum over GF(2) of each group's records (column ``words`` of ``n_words`` 64-bit words): one aggregate, combined before its shuffle."""
+    return rows.groupBy(*by).agg(F.array(*[F.bit_xor(F.get("words", i)) for i in range(n_words)]).alias("words"), F.count("*").alias("n_rows"))
+
+
 def chunked(datasets: DataFrame, size: int = CHUNK_BYTES) -> DataFrame:
     """(dataset_id, bytes) to (dataset_id, start, total, bytes): chunks of ``size`` bytes, each with OVERLAP bytes more."""
     n = F.octet_length("bytes").cast("long")

@@ -27,9 +27,15 @@ def mapping_cost_bits(n_entries: int, value_bits: int, key_bits: list[int]) -> i
 
 
 def grouped_by(df: DataFrame, sources: list[str], targets: list[str]) -> tuple[int, dict[str, bool]]:
-    """Distinct source tuples, and whether each target is a function of them: one aggregate, combined before its shuffle."""
-    groups = df.groupBy(*sources).agg(*[F.min(z).alias(f"lo{i}") for i, z in enumerate(targets)], *[F.max(z).alias(f"hi{i}") for i, z in enumerate(targets)])
-    got = groups.agg(F.count("*").alias("n"), *[F.bool_and(F.col(f"lo{i}") == F.col(f"hi{i}")).alias(f"ok{i}") for i in range(len(targets))]).first()
+    """Distinct source tuples, and whether each target is a function of them: one aggregate, combined before its shuffle.
+
+    A null in any of the columns raises, as in every search for relations; it is counted in the same aggregate.
+    """
+    missing = lambda names: sum((F.col(c).isNull().cast("int") for c in names), F.lit(0))
+    groups = df.groupBy(*sources).agg(F.sum(missing([*sources, *targets])).alias("missing"), *[F.min(z).alias(f"lo{i}") for i, z in enumerate(targets)], *[F.max(z).alias(f"hi{i}") for i, z in enumerate(targets)])
+    got = groups.agg(F.count("*").alias("n"), F.sum("missing").alias("missing"), *[F.bool_and(F.col(f"lo{i}") == F.col(f"hi{i}")).alias(f"ok{i}") for i in range(len(targets))]).first()
+    if got["missing"]:
+        raise ValueError("dependencies need columns without nulls; drop such rows first")
     return got["n"], {z: got[f"ok{i}"] is not False for i, z in enumerate(targets)}
 
 

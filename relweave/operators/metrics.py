@@ -88,8 +88,21 @@ def monotone_sweep(sweep: DataFrame, by: str = "phi", gap: str = "gap_bytes", sl
     return sweep.withColumn("previous", before).withColumn("passed", F.coalesce(F.col(gap) <= F.col("previous") + slack, F.lit(True)))
 
 
-def control_gates(results: DataFrame) -> DataFrame:
-    """(gate, passed) over control results with a ``control`` column: positive, null, sweep, metadata, framing, composed."""
+#: Gates over any set of control results, and those of controls made for one purpose.
+GATES = ("positive", "null", "metadata", "framing", "roundtrip")
+MORE_GATES = ("noise", "sweep", "composed", "period", "own_period")
+#: Noise inputs that the gate ``noise`` needs at least.
+NOISE_INPUTS = 40
+
+
+def control_gates(results: DataFrame, gates: tuple[str, ...] = GATES) -> DataFrame:
+    """(gate, passed) over control results, whose column ``control`` says what each is for. A gate without any result fails.
+
+    positive: a large gap; null: none beyond noise, in passthrough; metadata and framing: sizes add up; roundtrip: all
+    decode; noise: at least NOISE_INPUTS inputs without structure, none with a relation; sweep: gaps never below noise, nor
+    rising with ``phi``; composed: decompressed containers decode; period: a record length that is not searched is missed;
+    own_period: searched, it is found.
+    """
     is_ = lambda name: F.col("control") == name
     rule = {
         "positive": (is_("positive"), F.col("gap_pct") >= 0.30),
@@ -98,8 +111,22 @@ def control_gates(results: DataFrame) -> DataFrame:
         "framing": (F.lit(True), F.col("framing_bits").between(0, 7) & (F.col("total_bits") == 8 * F.col("total_encoded_bytes"))),
         "roundtrip": (F.lit(True), F.col("roundtrip_ok")),
     }
-    one = results.agg(*[F.bool_and(F.when(on, F.coalesce(ok, F.lit(False)))).alias(g) for g, (on, ok) in rule.items()])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(g).alias("gate"), F.coalesce(g, F.lit(True)).alias("passed")) for g in rule])).alias("g")).select("g.*")
+    if set(gates) & set(MORE_GATES):
+        rule |= {
+            "noise": (is_("noise"), (F.col("codec_kind") == "PASSTHROUGH") & (F.col("n_relations") == 0)),
+            "sweep": (is_("sweep"), F.col("gap_bytes") >= -NOISE_BYTES),
+            "composed": (is_("composed"), F.col("composed_roundtrip_ok")),
+            "period": (is_("period"), (F.col("codec_kind") == "PASSTHROUGH") & F.col("roundtrip_ok")),
+            "own_period": (is_("own_period"), (F.col("codec_kind") == "GF2") & (F.col("n_relations") >= 1) & F.col("roundtrip_ok")),
+        }
+    rule = {g: rule[g] for g in gates}
+    least = {"noise": NOISE_INPUTS, "sweep": 2}
+    one = results.agg(*[(F.bool_and(F.when(on, F.coalesce(ok, F.lit(False)))) & (F.count_if(on) >= least.get(g, 1))).alias(g) for g, (on, ok) in rule.items()])
+    out = one.select(F.explode(F.array(*[F.struct(F.lit(g).alias("gate"), F.coalesce(g, F.lit(False)).alias("passed")) for g in rule])).alias("g")).select("g.*")
+    if "sweep" in gates:
+        steps = monotone_sweep(results.where(is_("sweep"))).agg(F.coalesce(F.bool_and("passed"), F.lit(False)).alias("falling"))
+        out = out.join(F.broadcast(steps)).select("gate", (F.col("passed") & ((F.col("gate") != "sweep") | F.col("falling"))).alias("passed"))
+    return out
 
 
 def against_phase_zero(offset_rows: DataFrame, zero_rows: DataFrame) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relweave.functions import bits
 from relweave.functions import container as C
 from relweave.operators import affine, bases, codec_sizes, containers, functional, ledger, metrics
 from relweave.runtime import materialize
@@ -52,7 +55,7 @@ def document_bytes(spark, sf_dir) -> DataFrame:
 
 
 def source_blobs(spark, sf_dir) -> DataFrame:
-    """The texts of each language in key order as one byte string: tens of datasets of about equal size."""
+    """The texts of each source in key order as one byte string: tens of datasets."""
     d = _t(spark, sf_dir, "documents")
     parts = d.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("d"))
     return parts.select(F.col("source").alias("dataset_id"), F.encode(F.array_join(F.transform("d", lambda x: x["text"]), "\n"), "UTF-8").alias("bytes"))
@@ -97,8 +100,9 @@ def affine_bivariate(spark, sf_dir):
 
 
 def affine_univariate(spark, sf_dir):
-    df = price_table(spark, sf_dir).where("p_partkey < 1000")
-    return affine.relations_frame(df, affine.discover_affine(df, ["p_partkey", "cents"])[1])
+    x = F.col("l_partkey")
+    df = _t(spark, sf_dir, "lineitem").select(x.alias("x"), (7 * x - 13).alias("z"))
+    return affine.relations_frame(df, affine.discover_affine(df, ["x", "z"])[1])
 
 
 def affine_scale_dependent(spark, sf_dir):
@@ -222,11 +226,18 @@ def gf2_bases_offsets(spark, sf_dir):
 
 
 def bit_rows(spark, sf_dir):
-    d = document_bytes(spark, sf_dir).select("dataset_id", F.octet_length("bytes").cast("long").alias("n"))
-    w = F.explode(F.array(*[F.struct(F.lit(w).alias("width"), F.lit(o).alias("offset")) for w, o in ((8, 0), (17, 0), (48, 5), (64, 13), (256, 0))])).alias("w")
-    d = d.select("dataset_id", "n", w).select("dataset_id", "n", "w.*")
-    bits = F.greatest(8 * F.col("n") - F.col("offset"), F.lit(0))
-    return d.select("dataset_id", "width", "offset", F.floor(bits / F.col("width")).alias("n_rows"), (bits % F.col("width")).alias("leftover_bits"), F.least("offset", 8 * F.col("n")).alias("prefix_bits"))
+    """Every text cut into records by the reshaper."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for d, x in zip(b["dataset_id"], b["bytes"], strict=True):
+                for w, o in ((8, 0), (17, 0), (48, 5), (64, 13), (256, 0)):
+                    matrix, prefix, leftover = bits.reshape(x, w, o)
+                    rows.append((d, w, o, len(matrix), len(leftover), len(prefix)))
+            yield pd.DataFrame(rows, columns=["dataset_id", "width", "offset", "n_rows", "leftover_bits", "prefix_bits"])
+
+    return document_bytes(spark, sf_dir).where("bytes is not null").mapInPandas(run, "dataset_id string, width int, offset int, n_rows long, leftover_bits long, prefix_bits long")
 
 
 def passthrough_size(spark, sf_dir):
@@ -298,10 +309,14 @@ def size_model_matches(spark, sf_dir):
 
 
 def table_container(spark, sf_dir):
-    df = int_table(spark, sf_dir).withColumn("__id", F.xxhash64("w", "x", "y"))
-    made = materialize(containers.encode_table(df, ["x", "y", "z", "w"], "__id"), "table")
+    """A table through its container and back: sums of the values times their row numbers, so that order counts."""
+    x, y = F.col("l_partkey"), F.col("l_suppkey")
+    # lineitem has rows of one order and line; those that share all of these columns are equal here
+    row = ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * (1 << 20) + x) * (1 << 16) + y
+    df = _t(spark, sf_dir, "lineitem").select(row.alias("id"), x.alias("x"), y.alias("y"), (3 * x + 5 * y + 7).alias("z"), F.col("l_orderkey").alias("w"))
+    made = materialize(containers.encode_table(df, ["x", "y", "z", "w"], "id"), "table")
     back = containers.decode_table(made, ["x", "y", "z", "w"])
-    return back.agg(F.count("*").alias("n_rows"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y"), F.sum("z").alias("sum_z"), F.sum("w").alias("sum_w"))
+    return back.agg(F.count("*").alias("n_rows"), *[F.sum((F.col("row_id") + 1) * F.col(c)).alias(f"sum_{c}") for c in "xyzw"])
 
 
 def crc32_records(spark, sf_dir):
@@ -399,9 +414,41 @@ def ledger_report(spark, sf_dir):
 
 
 def check_claims(spark, sf_dir):
+    """Markers of every type, right and wrong ones; a whole number that is off by one is wrong however large it is."""
+    flat = ledger.flatten(_records(spark, sf_dir), ["one"]).withColumn("large", F.lit(10_000_000).cast("long") + F.col("dataset_bytes"))
+    mark = lambda field, value: F.concat(F.lit("Some text <!-- src: "), "experiment_id", F.lit(f" / {field} = "), value, F.lit(" -->."))
+    text = lambda c: F.col(c).cast("string")
+    quoted = [mark("gap_bytes", text("gap_bytes")), mark("large", (F.col("large") + 1).cast("string")), mark("gap_pct", F.format_string("%.8f", "gap_pct")), mark("gap_pct", F.format_string("%.8f", F.col("gap_pct") + 0.001)),
+              mark("codec_kind", F.lit("GF2")), mark("codec_kind", F.lit("gf2")), mark("roundtrip_ok", F.lit("True")), mark("roundtrip_ok", F.lit("1")), mark("no_such_field", F.lit("1")), mark("verdict", F.lit("None"))]
+    lines = flat.select(F.posexplode(F.array(*quoted)).alias("line_no", "line"))
+    lines = lines.unionByName(spark.createDataFrame([(99, "written as <!-- src: id / field = value -->")], "line_no int, line string"))
+    return ledger.check_claims(lines, flat).select("line_no", "experiment_id", "field", "ok")
+
+
+def ledger_rollup(spark, sf_dir):
     flat = ledger.flatten(_records(spark, sf_dir), ["one"])
-    lines = flat.select(F.lit(1).cast("long").alias("line_no"), F.concat(F.lit("It is "), F.col("gap_bytes").cast("string"), F.lit("<!-- src: "), "experiment_id", F.lit(".gap_bytes --> and "), (F.col("dataset_bytes") + 1).cast("string"), F.lit("<!-- src: "), "experiment_id", F.lit(".dataset_bytes -->.")).alias("line"))
-    return ledger.check_claims(lines, flat).select("experiment_id", "field", "claimed", "actual", "ok")
+    lang, source = F.get(F.split("experiment_id", "/"), 0).alias("lang"), F.get(F.split("experiment_id", "/"), 1).alias("source")
+    return ledger.rollup(flat.select(lang, source, "gap_bytes"), ["lang", "source"])
+
+
+def xor_rows(spark, sf_dir):
+    rows = _t(spark, sf_dir, "lineitem").select("l_returnflag", F.array(F.col("l_orderkey"), F.col("l_partkey") * 64 + F.col("l_linenumber")).alias("words"))
+    return bases.xor_rows(rows, ["l_returnflag"], 2).select("l_returnflag", F.get("words", 0).alias("xor_order"), F.get("words", 1).alias("xor_part"), "n_rows")
+
+
+def control_gates(spark, sf_dir):
+    """All gates over the controls made for them: a planted code, noise, a code with ever more flipped bits, an unsearched record length."""
+    rng = np.random.default_rng(40)
+    code = generators.gf2_linear_code(1280, 32, 32, 902)
+    sets = [("positive", 0.0, code), ("composed", 0.0, code), ("null", 0.0, generators.mixed_noise_bits(512, 64, 1)), ("period", 0.0, generators.odd_period_code())]
+    sets += [("noise", 0.0, generators.Dataset(f"noise{i}", rng.integers(0, 256, 4096, dtype=np.uint8).tobytes())) for i in range(metrics.NOISE_INPUTS)]
+    sets += [("sweep", phi, generators.corrupted_gf2_code(4096, 32, 32, 433, phi)) for phi in (0.0, 1e-4, 1e-3, 1e-2, 5e-2)]
+    frame = spark.createDataFrame([(f"{c}/{d.dataset_id}/{phi:g}", c, phi, bytearray(d.data)) for c, phi, d in sets], "dataset_id string, control string, phi double, bytes binary")
+    own = frame.where("control = 'period'").withColumns({"control": F.lit("own_period"), "dataset_id": F.lit("own_period")})
+    found = ledger.measure(frame.select("dataset_id", "bytes"), "controls")
+    at_48 = ledger.measure(own.select("dataset_id", "bytes"), "controls", C.configurations((48, 96, *C.WIDTHS)))
+    both = frame.unionByName(own).select("dataset_id", "control", "phi").join(found.unionByName(at_48), "dataset_id")
+    return metrics.control_gates(both, metrics.GATES + metrics.MORE_GATES)
 
 
 def harness(spark, sf_dir):
@@ -420,7 +467,7 @@ QUERIES = {f.__name__: f for f in (
     gf2_rank_w16, gf2_rank_w8, gf2_free_columns, gf2_pivots, gf2_coefficients, gf2_near_relation, gf2_verify, gf2_reconstruct, gf2_bases_wide, gf2_bases_offsets, bit_rows, passthrough_size,
     gf2_size_model, best_config, planted_datasets, planted_containers, container_roundtrip, container_accounting, size_model_matches, table_container, crc32_records, stock_codec_sizes, composed_gap,
     composed_roundtrip, gap_metrics, matched_gap, claims_abc, verdict, outcome, companion_metrics, monotone_sweep, offset_vs_phase0, manifest_pin, ledger_flatten, ledger_summary, ledger_report,
-    check_claims, harness, structured_text,
+    check_claims, harness, structured_text, ledger_rollup, xor_rows, control_gates,
 )}
 
 
@@ -440,7 +487,7 @@ _NEAR = f"case when l_orderkey % 1000 = 7 then 1 - {_PARITY} else {_PARITY} end"
 _NEAR9 = f"select distinct ({_LOW} | (({_NEAR})::bigint << 8))::bigint as v from lineitem"
 _GEO = "geo as (select s.*, n.*, r.* from supplier s join nation n on s_nationkey = n_nationkey join region r on n_regionkey = r_regionkey)"
 _RANK = "select affine, (select count(*) from {t})::bigint as n_rows, ({w} - k)::int as rank, k::int as n_relations from (select false as affine, log2(count(*)) as k from ann union all select true, log2(count(*)) from con)"
-_PRICE = "price as (select p_partkey as x, round(p_retailprice * 100)::bigint as z from part{where})"
+_PRICE = "price as (select p_partkey as x, round(p_retailprice * 100)::bigint as z from part)"
 _UNI = """, e as (select min(x) as x0, max(x) as x1, min_by(z, x) as z0, max_by(z, x) as z1 from price),
 s as (select (z1 - z0) // (x1 - x0) as a, z0 - (z1 - z0) // (x1 - x0) * x0 as c from e where (z1 - z0) % (x1 - x0) = 0)
 select 'cents' as z_col, 'p_partkey' as x_col, null::varchar as y_col, a::bigint as a, 0::bigint as b, c::bigint as c from s where not exists (select 1 from price where a * x + c != z)"""
@@ -463,6 +510,8 @@ _CLAIMS = """, cl as (select res.*, raw_best, composed_best, raw_best - composed
 me as (select *, claim_c and gap >= 1024 and gap::double / raw_best >= 0.05 and rt and not (kind = 'PASSTHROUGH' or rels = 0) and rec >= 1 as mean0 from cl)"""
 _REPORTABLE = "crt and (same or coalesce(mgap >= 1024 and mgap::double / mraw >= 0.05, false))"
 
+_SETS = "select distinct source as dataset_id from documents union all select unnest(['gf2_n1280_k32_p32_s902', 'gf2_n4096_k32_p32_s12', 'gf2_n8192_k48_p48_s777'])"
+
 ORACLE_SQL: dict[str, str] = {
     "affine_bivariate": """with t as (select l_partkey as x, l_suppkey as y, 3 * l_partkey + 5 * l_suppkey + 7 as z from lineitem),
 p as (select min({x: x, y: y, z: z}) as p, max({x: x, y: y, z: z}) as q from t),
@@ -470,8 +519,8 @@ r as (select max_by({x: x, y: y, z: z}, abs((x - p.x) * (q.y - p.y) - (y - p.y)
 v as (select q.x - p.x as ax, q.y - p.y as ay, q.z - p.z as az, r.x - p.x as bx, r.y - p.y as by_, r.z - p.z as bz, p.x as px, p.y as py, p.z as pz from p, r),
 s as (select (az * by_ - bz * ay) // (ax * by_ - ay * bx) as a, (ax * bz - bx * az) // (ax * by_ - ay * bx) as b, px, py, pz from v where ax * by_ != ay * bx)
 select 'z' as z_col, 'x' as x_col, 'y' as y_col, a::bigint as a, b::bigint as b, (pz - a * px - b * py)::bigint as c from s where not exists (select 1 from t where a * x + b * y + pz - a * px - b * py != z)""",
-    "affine_univariate": "with " + _PRICE.format(where=" where p_partkey < 1000") + _UNI,
-    "affine_scale_dependent": "with " + _PRICE.format(where="") + _UNI,
+    "affine_univariate": "with price as (select l_partkey as x, 7 * l_partkey - 13 as z from lineitem)" + _UNI.replace("'cents'", "'z'").replace("'p_partkey'", "'x'"),
+    "affine_scale_dependent": "with " + _PRICE + _UNI,
     "affine_violations": "select count(*) as n_rows, count(*) filter (where round(p_retailprice * 100)::bigint != 90000 + 10 * p_partkey) as n_violations from part",
     "affine_apply": "with t as (select l_suppkey as y, 3 * l_partkey + 5 * l_suppkey + 7 as z from lineitem) select y, sum(z)::bigint as sum_z, sum(2 * z - y + 3)::bigint as sum_u, count(*) as n from t group by y",
     "fd_unary": f"with {_GEO} " + _fd([(s, z) for s in _GEO_COLS for z in _GEO_COLS if s != z], "geo"),
@@ -499,7 +548,18 @@ from {_BYTES}, (values (8, 0), (17, 0), (48, 5), (64, 13), (256, 0)) c(w, o)""",
 ('gf2_n4096_k32_p32_s12', 32768, 'ddf23fa518129c14d6cdb1fed067de7cbf5aec8e8d2e2d3d762d53dd271f1615'), ('gf2_n8192_k48_p48_s777', 98304, '89e0d8c75a499985ee5ca382ac6faeb9cbf74b9b3f3b2276ddef43a14324fd0c'),
 ('gf2_n65536_k64_p64_s14', 1048576, '9e300c474c1358cce32559616193d51a5d8fdcd9715bd671928dc42c7dd09e09'), ('fd_affine_n8192_s21', 196608, '4f6c208becf02ec8d4ea5c77a4c922362a5ed886b84b550d547b400518e30ec7')) t(dataset_id, n_bytes, sha256)""",
     "planted_containers": "select * from (values ('gf2_n1280_k32_p32_s902', 'GF2', 32, 5291::bigint), ('gf2_n4096_k32_p32_s12', 'GF2', 32, 16555), ('gf2_n8192_k48_p48_s777', 'GF2', 48, 49487)) t(dataset_id, kind, n_relations, container_bytes)",
-    "table_container": "select count(*) as n_rows, sum(l_partkey)::bigint as sum_x, sum(l_suppkey)::bigint as sum_y, sum(3 * l_partkey + 5 * l_suppkey + 7)::bigint as sum_z, sum(l_orderkey)::bigint as sum_w from lineitem",
+    "table_container": """with t as (select row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey) as r, l_partkey as x, l_suppkey as y, l_orderkey as w from lineitem)
+select count(*) as n_rows, sum(r * x)::bigint as sum_x, sum(r * y)::bigint as sum_y, sum(r * (3 * x + 5 * y + 7))::bigint as sum_z, sum(r * w)::bigint as sum_w from t""",
+    "container_roundtrip": f"select dataset_id, true as roundtrip_ok, true as accounting_ok, true as framing_ok from ({_SETS})",
+    "size_model_matches": f"select dataset_id, true as ok from ({_SETS})",
+    # a CRC of 32 bits is an affine map of its payload: 32 relations with constants, of which one more is spent on making constants vanish
+    "crc32_records": "select * from (values ('crc_n4096_b4_s5', false, 4096::bigint, 31), ('crc_n4096_b4_s5', true, 4096, 32)) t(dataset_id, affine, n_rows, n_relations)",
+    "affine_none": "select 3 as n_independent, 0 as n_relations",
+    "affine_independents": "select * from (values (0, 'x'), (1, 'w'), (2, 'y')) t(ordinal, column_name)",
+    "control_gates": "select unnest(['positive', 'null', 'metadata', 'framing', 'roundtrip', 'noise', 'sweep', 'composed', 'period', 'own_period']) as gate, true as passed",
+    "xor_rows": "select l_returnflag, bit_xor(l_orderkey) as xor_order, bit_xor(l_partkey * 64 + l_linenumber) as xor_part, count(*) as n_rows from lineitem group by 1",
+    "ledger_rollup": f"""with {_SIZE_SQL}, g as (select lang, source, raw_best - composed_best as gap from best join (select distinct lang, source, lang || '/' || source as dataset_id from documents) using (dataset_id))
+select lang, source, count(*) as n_records, sum(gap)::bigint as total_gap_bytes, grouping(lang, source)::bigint as level from g group by rollup (lang, source)""",
     "gap_metrics": f"with {_SIZE_SQL} select dataset_id, raw_best as raw_best_bytes, composed_best as composed_best_bytes, raw_best - composed_best as gap_bytes, (raw_best - composed_best)::double / raw_best as gap_pct from best",
     "matched_gap": f"""with {_SIZE_SQL} select dataset_id, mgap as matched_gap_bytes, mgap::double / mraw as matched_gap_pct, s1.cs = s2.cs as codec_sets_match, array_to_string(s1.cs, ',') as available_raw_codecs from matched
 join (select dataset_id, list_sort(list(codec)) as cs from ok where side = 'raw' group by 1) s1 using (dataset_id) join (select dataset_id, list_sort(list(codec)) as cs from ok where side = 'composed' group by 1) s2 using (dataset_id)""",
@@ -518,6 +578,6 @@ select *, gap_bytes - phase0_gap_bytes > 64 as helped, gap_bytes > 0 and phase0_
 raw_best - composed_best as gap_bytes, raw_best - m as raw_gap_bytes, m + 283 as metadata_bits, m % 2 = 0 as accounting_ok, 'not-checked' as composed_state from d join best using (dataset_id)""",
     "ledger_summary": f"with {_SIZE_SQL} select count(*) as n_records, 0::bigint as n_roundtrip_failures, count(*) filter (where m % 2 = 1) as n_accounting_failures, 0::bigint as n_composed_failures, count(*) as n_composed_not_checked from d",
     "ledger_report": f"with {_SIZE_SQL} select d.dataset_id as experiment_id, m::int as n_relations, raw_best - composed_best as gap_bytes from d join best using (dataset_id)",
-    "check_claims": f"""with {_SIZE_SQL} select d.dataset_id as experiment_id, f as field, case when f = 'gap_bytes' then (raw_best - composed_best)::double else (n + 1)::double end as claimed, case when f = 'gap_bytes' then (raw_best - composed_best)::double else n::double end as actual,
-f = 'gap_bytes' or 1 <= 1e-6 * greatest(n, 1) as ok from d join best using (dataset_id), (values ('gap_bytes'), ('dataset_bytes')) v(f)""",
+    "check_claims": f"""with {_SIZE_SQL} select i as line_no, d.dataset_id as experiment_id, f as field, ok from d, (values (0, 'gap_bytes', true), (1, 'large', false), (2, 'gap_pct', true), (3, 'gap_pct', false), (4, 'codec_kind', true),
+(5, 'codec_kind', false), (6, 'roundtrip_ok', true), (7, 'roundtrip_ok', false), (8, 'no_such_field', false), (9, 'verdict', true)) v(i, f, ok)""",
 }

@@ -223,3 +223,49 @@ def test_container_queries_read_the_tables(spark, tmp_path, name):
     assert {"other0", "other1", "other2"} < {r["dataset_id"] for r in got}
     for passed in ("ok", "all_ok", "roundtrip_ok", "composed_roundtrip_ok"):
         assert all(r[passed] for r in got if passed in r.__fields__)
+
+
+def test_absent_controls_do_not_pass(spark):
+    rows = [("positive", "GF2", 0.5, 5000, 100, 60, 3, 480, True)]
+    df = spark.createDataFrame(rows, "control string, codec_kind string, gap_pct double, gap_bytes long, dataset_bytes long, total_encoded_bytes long, framing_bits long, total_bits long, roundtrip_ok boolean")
+    assert {r["gate"]: r["passed"] for r in metrics.control_gates(df).collect()} == {"positive": True, "null": False, "metadata": False, "framing": True, "roundtrip": True}
+    assert not any(r["passed"] for r in metrics.control_gates(df.limit(0)).collect())
+    sweep = spark.createDataFrame([("sweep", 0.0, 900), ("sweep", 0.1, 100), ("sweep", 0.2, 300)], "control string, phi double, gap_bytes long")
+    assert not metrics.control_gates(sweep, ("sweep",)).first()["passed"]
+    assert metrics.control_gates(sweep.where("phi < 0.2"), ("sweep",)).first()["passed"]
+    assert not metrics.control_gates(sweep.withColumn("phi", -F.col("phi")), ("sweep",)).first()["passed"]
+
+
+def test_nulls_are_no_function(spark):
+    from relweave.operators import functional
+
+    df = spark.createDataFrame([(1, 5), (1, None), (2, 6)], "k int, v int")
+    for call in (lambda: functional.is_function_of(df, "v", ["k"]), lambda: functional.lookup_table(df, "v", ["k"]), lambda: functional.is_function_of(df, "k", ["v"])):
+        with pytest.raises(ValueError):
+            call()
+    assert functional.is_function_of(df.dropna(), "v", ["k"])
+
+
+def test_claims_are_typed(spark):
+    ledger_rows = spark.createDataFrame([("a/b", 10_000_000, 0.25, True, "GF2", None)], "experiment_id string, n long, pct double, ok_flag boolean, kind string, note string")
+    quoted = [("n", "10000000", True), ("n", "10000001", False), ("n", "10000000.0", False), ("pct", "0.2500000001", True), ("pct", "0.26", False), ("pct", "much", False), ("ok_flag", "True", True), ("ok_flag", "true", False), ("kind", "GF2", True), ("kind", "GF", False), ("note", "None", True), ("none", "1", False)]
+    lines = [(i, f"x <!-- src: a/b / {f} = {v} --> y <!-- src: id / field = value -->") for i, (f, v, _) in enumerate(quoted)] + [(99, "<!-- src: nobody / n = 1 -->")]
+    got = {r["line_no"]: r["ok"] for r in ledger.check_claims(spark.createDataFrame(lines, "line_no int, line string"), ledger_rows).collect()}
+    assert got == {i: ok for i, (_, _, ok) in enumerate(quoted)} | {99: False}
+
+
+def test_tables_of_different_columns(spark, tmp_path):
+    a, b = spark.createDataFrame([("x", 1)], "lang string, gap_bytes int"), spark.createDataFrame([("y", [1, 2])], "lang string, more array<int>")
+    both = ledger.together([a, b])
+    assert sorted(both.columns) == ["gap_bytes", "lang", "more"] and both.count() == 2
+    for form in ("csv", "json", "parquet"):
+        ledger.write_table(both, f"{tmp_path}/{form}", form)
+    assert spark.read.option("header", "true").csv(f"{tmp_path}/csv").where("lang = 'y'").first()["more"] == "[1,2]"
+    assert spark.read.json(f"{tmp_path}/json").count() == spark.read.parquet(f"{tmp_path}/parquet").count() == 2
+    assert {(r["lang"], r["total_gap_bytes"]) for r in ledger.rollup(both, ["lang"]).collect()} == {("x", 1), ("y", None), (None, 1)}
+
+
+def test_merged_accounts():
+    from relweave.functions.bits import merge_accounts
+
+    assert merge_accounts({"payload_bits": 3}, {"payload_bits": 4, "crc_bits": 32}, {}) == {"payload_bits": 7, "crc_bits": 32}
