@@ -187,6 +187,42 @@ def test_embeddings(spark, monkeypatch, block, leaf):
     assert (got[None]["n_links"], got[None]["component_id"], got[None]["kept"]) == (0, None, False)
 
 
+def test_each_length_is_joined(spark):
+    from relweave.llm.epsilon_grid import near_duplicates
+
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0]), (4, [1.0, 0.0, 0.0]), (5, [1.0, 0.0, 0.0]), (6, [1.0, 0.1, 0.0]), (7, [1.0] * 5), (8, [2.0]), (2, [0.0, 1.0])]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(1, 1, 1), (2, 1, 1), (2, 1, 1), (3, 1, 1), (4, 2, 4), (5, 2, 4), (6, 2, 4), (7, 0, 7), (8, 0, 8)]
+
+
+def test_blocks_follow_cells():
+    from relweave.llm.epsilon_grid import block_starts
+
+    rnd = random.Random(4)
+    for _ in range(200):
+        cells, rows = [rnd.choice([1, 2, 5, 30, 200]) for _ in range(rnd.randint(1, 30))], rnd.choice([4, 16, 100])
+        starts, at, blocks = block_starts(cells, rows), 0, []
+        for n, (start, base) in zip(cells, starts, strict=True):
+            blocks += [base + (r - start) // rows for r in range(at, at + n)]
+            at += n
+        assert all(y - x in (0, 1) for x, y in zip(blocks, blocks[1:])) and blocks[0] == 0
+        assert max(blocks.count(b) for b in set(blocks)) <= rows and len(set(blocks)) <= 2 * sum(cells) / rows + len(cells)
+
+
+def test_distant_blocks_are_skipped(spark, monkeypatch):
+    from relweave.llm import epsilon_grid as E
+
+    monkeypatch.setattr(E, "BLOCK_ROWS", 32)
+    rng = np.random.default_rng(7)
+    centres = np.linalg.qr(rng.normal(size=(16, 16)))[0]
+    rows = [(int(i * 40 + j), (centres[i] + rng.normal(scale=0.02, size=16)).tolist()) for i in range(16) for j in range(40)]
+    classes = spark.createDataFrame([(i, 1, v) for i, v in rows], "rep long, many long, v array<double>")
+    placed, sent, _ = E.units_of(classes, 16, 0.9)
+    blocks = placed.select("block").distinct().count()
+    assert blocks >= 20 and sent.select("unit").distinct().count() < 0.4 * blocks * (blocks + 1) / 2
+    assert E._linked(classes, 16, 0.9).groupBy("id").agg(F.sum("n").alias("n")).where("n = 39").count() == 640
+
+
 def test_embeddings_empty(spark):
     from relweave.llm.epsilon_grid import near_duplicates
 
