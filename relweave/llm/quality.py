@@ -28,6 +28,8 @@ from relweave.runtime import materialize, release
 #: Labelled documents that a model is fitted on at most, the first by a hash of their key.
 TRAIN_ROWS = 20_000
 PAIRS = 200_000
+#: Labels (tens of bytes each) up to which they are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 THRESHOLD = 0.3
 BLOCK = 64
 
@@ -168,7 +170,8 @@ def train(docs: DataFrame, labels: DataFrame, learn, key: str = "doc_id", text:
     model = fit(x[order], got["label"].to_numpy()[order])
     if not model.weight.any():
         return model
-    return replace(model, cut=_cut(texts.join(known, "id").select("label", _per_text(model.strength)("text").alias("strength"))))
+    few = known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return replace(model, cut=_cut(texts.join(F.broadcast(known) if few else known, "id").select("label", _per_text(model.strength)("text").alias("strength"))))
 
 
 def _cut(labelled: DataFrame) -> float:
