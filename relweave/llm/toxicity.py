@@ -1,15 +1,16 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
 A word's input is a learned vector of the word (of a vocabulary chosen on the training rows; others share one) beside
-the mean of learned vectors of its hashed character trigrams. A run of more than ``PIECE`` letters (text without spaces)
-counts as words of ``PIECE`` letters that start every ``PIECE_STRIDE`` letters and cover it. The network reads windows of ``WINDOW`` words that start
+the mean of learned vectors of its hashed character trigrams. A word runs from a letter or digit to the last one before
+white space, with whatever lies between (masked spellings stay whole). A word of more than ``PIECE`` characters (text
+without spaces) counts as words of ``PIECE`` that start every ``PIECE_STRIDE`` characters and cover it. The network reads windows of ``WINDOW`` words that start
 every ``STRIDE`` words, so they overlap and cover the whole text; attention pools the states of both directions; a
 text's score is its worst window's.
 
 Training: at most ``TRAIN_ROWS`` labelled rows, the first by a hash of their key. Of each, the windows with the most
 telling words and seeded others are drawn on the executors, so the driver gets at most ``WINDOWS_A_ROW`` windows a row.
 
-Defined results: null and empty texts and texts without letters have no window and score ``NOTHING``; texts of any
+Defined results: null and empty texts and texts without letters and digits have no window and score ``NOTHING``; texts of any
 length are read whole; without both labels every text scores ``NOTHING``; rows whose label or key is null are not
 learned from; equal texts score equally; an empty table gives an empty table; other columns are no inputs.
 """
@@ -39,7 +40,7 @@ NOTHING = 0.02
 TRIGRAMS = 1 << 11
 #: Words whose inputs a Python worker remembers.
 CACHE_WORDS = 150_000
-WORD = re.compile(r"[^\W\d_]+")
+WORD = re.compile(r"[^\W_](?:\S*[^\W_])?")
 _WORD_DIM, _CHAR_DIM, _HIDDEN, _ATTENTION = 8, 6, 8, 8
 
 

@@ -287,3 +287,65 @@ def test_long_runs_of_letters_are_read_whole():
     model = T.fit(words, np.arange(40) % 2, ["w1", "w2"], np.array([1.0, -1.0]), updates=3, batch=8)
     plain, other = T._Scorer(model).scores([run, run[:450] + "horrid" + run[456:]])
     assert plain != other
+
+
+def test_masked_spellings_reach_the_network():
+    from relweave.llm import toxicity as T
+
+    assert T.words_of('"Gr0b-n*ik," he_said (5 times) $$ !') == ["gr0b-n*ik", "he_said", "5", "times"]
+    assert T.words_of("$$ !! _") == [] == T.words_of(None)
+
+
+def test_the_network_reads_order_that_counts_cannot():
+    """Ablation: single words go equally with both labels, so a start from their counts knows nothing; only their order tells."""
+    from relweave.llm import toxicity as T
+
+    rng = np.random.default_rng(6)
+    filler = [f"fill{i}" for i in range(12)]
+
+    def window(label):
+        w = [filler[i] for i in rng.integers(0, 12, 10)]
+        at = rng.integers(0, 9)
+        w[at : at + 2] = ["kara", "moru"] if label else ["moru", "kara"]
+        return w
+
+    label = np.arange(900) % 2
+    windows = [window(y) for y in label]
+    vocabulary = ["kara", "moru", *filler]
+    model = T.fit(windows[:700], label[:700], vocabulary, np.zeros(len(vocabulary)))
+    got = T._Scorer(model).scores([" ".join(w) for w in windows[700:]])
+    assert ((got >= 0.5) == label[700:]).mean() > 0.9
+
+
+def test_scores_equal_a_loop_over_windows():
+    """The batched scorer against one window and one step at a time."""
+    from relweave.llm import toxicity as T
+
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{i}" for i in range(30)]
+    windows = [[vocabulary[i] for i in rng.integers(0, 30, 20)] for _ in range(60)]
+    model = T.fit(windows, np.arange(60) % 2, vocabulary, np.zeros(30), updates=5, batch=16)
+    p, h = model.params, model.params["u"].shape[1]
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def run(gates, k):
+        state, out = np.zeros(h), []
+        for g in gates:
+            hu = state @ p["u"][k]
+            z, r = sigmoid(g[:h] + hu[:h]), sigmoid(g[h : 2 * h] + hu[h : 2 * h])
+            state = state + z * (np.tanh(g[2 * h :] + r * hu[2 * h :]) - state)
+            out.append(state)
+        return out
+
+    def score(text):
+        words, worst = T.words_of(text), -np.inf
+        for s in T.window_starts(len(words)):
+            g = model.inputs(words[s : s + T.WINDOW]).astype(float)
+            both = np.concatenate([run(g[:, 0], 0), run(g[::-1, 1], 1)[::-1]], axis=1)
+            e = np.tanh(both @ p["wa"]) @ p["va"]
+            a = np.exp(e - e.max())
+            worst = max(worst, ((a / a.sum()) @ both @ p["wo"] + p["bo"][0]) * model.scale + model.shift)
+        return sigmoid(worst) if words else T.NOTHING
+
+    texts = [" ".join(vocabulary[i] if i < 30 else f"odd{i}" for i in rng.integers(0, 40, n)) for n in (0, 1, 39, 40, 41, 70, 71, 200)] + [None]
+    assert np.allclose(T._Scorer(model).scores(texts), [score(t) for t in texts], atol=1e-4)

@@ -291,6 +291,56 @@ def test_apportion_is_sainte_lague(spark):
         assert got == want
 
 
+def test_apportion_with_one_large_and_many_small(spark):
+    import heapq
+
+    from relweave.llm.mixing import apportion
+
+    for weights, seats, cap in (([10_000.0] + [0.6] * 300, 10_600, None), ([5.0] * 40, 31, None), ([100.0] + [1.0] * 50, 130, 2)):
+        df = spark.createDataFrame([(1, i, w, seats, cap or seats) for i, w in enumerate(weights)], "g int, __order long, w double, seats long, cap long")
+        got = {r["__order"]: r["q"] for r in apportion(df, ["g"], "w", "seats", "q", "cap").collect()}
+        heap = [(-w, i, 0) for i, w in enumerate(weights)]
+        heapq.heapify(heap)
+        want = dict.fromkeys(range(len(weights)), 0)
+        for _ in range(seats):
+            if not heap:
+                break
+            _, i, n = heapq.heappop(heap)
+            want[i] = n + 1
+            if n + 1 < (cap or seats):
+                heapq.heappush(heap, (-weights[i] / (2 * n + 3), i, n + 1))
+        assert got == want
+
+
+def test_mixing_of_small_sources_comes_near_their_targets(spark):
+    from relweave.llm.mixing import BLOCK, mix_sources
+
+    rnd = random.Random(12)
+    text = lambda n: " ".join(rnd.choice("abcdefg") for _ in range(n))
+    rows = [(i, text(20), f"s{i:03}") for i in range(60)] + [(100 + i, text(100), "s060") for i in range(100)] + [(300 + i, text(rnd.randint(1, 9)), f"t{i % 7}") for i in range(70)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    source = {r[0]: r[2] for r in rows}
+    taken, target = {}, {}
+    got = mix_sources(df).collect()
+    for r in got:
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        taken[source[r["doc_id"]]] = taken.get(source[r["doc_id"]], 0) + r["taken"]
+        target[source[r["doc_id"]]] = r["target"]
+    assert all(abs(taken[s] - target[s]) <= BLOCK for s in target)
+    other = {r["doc_id"]: r["taken"] for r in mix_sources(df, seed=12).collect()}
+    assert any(other[r["doc_id"]] != r["taken"] for r in got if source[r["doc_id"]] == "s060")
+
+
+def test_a_text_larger_than_a_shard(spark):
+    from relweave.llm.sharding import shard_by_bytes
+
+    rows = [(0, "x" * 5000), (1, "x" * 5000)] + [(i, f"t{i}") for i in range(2, 60)]
+    got = shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 60 and len({r["shard"] for r in got if r["doc_id"] < 2}) == 1
+    for s in {r["shard"] for r in got}:
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+
+
 def test_sharding(docs, empty):
     from relweave.llm.sharding import shard_by_bytes
 
