@@ -1,11 +1,12 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks.
 
-Each source's texts stand in a seeded order, and its words are cut into blocks of ``block`` words. Targets: all words
-are shared by weight; a source gets at most ``most`` times its own words, what is left over is shared again by weight
-among the others. Blocks go to sources by the highest quotients target / (2 s + 1). A source's quota is whole passes
-over its words and a rest in blocks; the rest is apportioned to shards (runs of its blocks) by the same rule, and within each
-shard a seeded bijection of block numbers chooses that many blocks. What is taken of a text is the words of its chosen
-blocks, once for every pass.
+Each source's texts stand in a seeded order. Targets: all words are shared by weight; a source gets at most ``most`` times
+its own words, what is left over is shared again by weight among the others. Quotas go to sources in blocks of ``unit``
+words by the highest quotients target / (2 s + 1); with one word a block, small sources come as near to their targets as
+large ones. A quota is whole passes over its source and a rest. For the rest the source is cut into runs of ``block`` words
+and these into shards; the runs that fit the rest are apportioned to shards by the same rule, and within each shard a
+seeded bijection of run numbers chooses that many, and in one shard a part of one more. What is taken of a text is its
+words in chosen runs, once for every pass.
 
 Defined results: null and empty texts have size 0 and take 0; sources are ordered by code point, null is a source of
 its own and the last; a source without words has target 0; reruns and other partitionings give equal results
@@ -103,7 +104,7 @@ def _step(n: Column, h: Column) -> Column:
 
 def mix_sources(
     df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: list[float] | None = None,
-    most: int = 3, block: int = BLOCK, shards: int = SHARDS, seed: int = 11, keep: list[str] | None = None,
+    most: int = 3, unit: int = 1, block: int = BLOCK, shards: int = SHARDS, seed: int = 11, keep: list[str] | None = None,
 ) -> DataFrame:
     """``key`` (and ``keep``), size, source_size, target and taken of each row. ``weights`` repeat over the sources by code point."""
     extra = [c for c in (keep or []) if c != key]
@@ -117,28 +118,29 @@ def mix_sources(
     runs = runs.withColumn("__base", F.coalesce(F.sum("__words").over(ahead), F.lit(0)))
     sizes = runs.groupBy("__source").agg(F.sum("__words").alias("source_size"))
     t = source_targets(sizes, weights or [1.0, 2.0, 3.0], most)
-    t = t.withColumn("__blocks", F.ceil(F.col("source_size") / block)).withColumn("__cap", F.col("__blocks") * most)
-    t = t.withColumn("__all", F.floor(F.sum("target").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) / block + 0.5))
+    t = t.withColumn("__blocks", F.ceil(F.col("source_size") / block)).withColumn("__cap", F.floor(F.col("source_size") * most / unit))
+    t = t.withColumn("__all", F.floor(F.sum("target").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) / unit + 0.5))
     t = apportion(t.withColumn("__one", F.lit(1)), ["__one"], "target", "__all", "__quota", "__cap").drop("__one")
-    # a quota's words: whole passes over the source, and a rest in blocks
-    words = F.least(F.col("__quota") * block, F.col("source_size") * most)
-    t = t.withColumn("__words", words).withColumn("__passes", F.when(F.col("source_size") > 0, F.expr("__words div source_size")).otherwise(F.lit(0)))
-    t = t.withColumn("__rest", F.floor((F.col("__words") - F.col("__passes") * F.col("source_size")) / block + 0.5).cast("long"))
-    t = t.withColumn("__rest", F.when(F.col("__passes") < most, F.least("__rest", "__blocks")).otherwise(F.lit(0))).drop("__words")
+    # a quota's words: whole passes over the source; of the rest whole runs and a part of one more
+    t = t.withColumn("__words", F.col("__quota") * unit).withColumn("__passes", F.when(F.col("source_size") > 0, F.expr("__words div source_size")).otherwise(F.lit(0)))
+    t = t.withColumn("__words", F.col("__words") - F.col("__passes") * F.col("source_size"))
+    t = t.withColumn("__rest", F.expr(f"__words div {block}")).withColumn("__part", F.col("__words") % block)
     # the rest of the quota over shards, each a run of the source's blocks
-    s = t.select("__source", "__order", "__blocks", "__rest", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("__shard"))
+    s = t.select("__source", "__order", "__blocks", "__rest", "__part", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("__shard"))
     edge = lambda k: F.expr(f"(__blocks * ({k})) div {shards}")
     s = s.withColumn("__from", edge("__shard")).withColumn("__n", edge("__shard + 1") - F.col("__from"))
-    s = s.select(F.col("__order").alias("__src"), F.col("__shard").cast("long").alias("__order"), "__from", "__n", "__rest")
+    s = s.select(F.col("__order").alias("__src"), F.col("__shard").cast("long").alias("__order"), "__from", "__n", "__rest", "__part")
     s = apportion(s, ["__src"], "__n", "__rest", "__take", "__n")
     n = F.greatest(F.col("__n"), F.lit(1)).cast("long")
     drawn = lambda what: F.xxhash64(F.lit(seed), F.lit(what), "__src", "__order")
+    free = F.min(F.when(F.col("__take") < F.col("__n"), F.col("__order"))).over(Window.partitionBy("__src"))
+    s = s.withColumn("__part", F.when(F.col("__order") == free, F.col("__part")).otherwise(F.lit(0)))
     s = s.withColumn("step", F.pmod(_step(n, drawn(1)), n)).withColumn("turn", F.pmod(drawn(2), n))
-    s = s.groupBy(F.col("__src").alias("__order")).agg(F.array_sort(F.collect_list(F.struct(F.col("__order").alias("shard"), "__from", "__n", "__take", "step", "turn"))).alias("__shards"))
+    s = s.groupBy(F.col("__src").alias("__order")).agg(F.array_sort(F.collect_list(F.struct(F.col("__order").alias("shard"), "__from", "__n", "__take", "__part", "step", "turn"))).alias("__shards"))
     t = t.join(s, "__order").drop("__weight", "__cap", "__all")
     plan = runs.select(F.col("__source").alias("__s"), F.col("__run").alias("__r"), "__base")
     # a row a source: Spark broadcasts it where its measured size is small, and else splits the hot source
-    t = t.select(F.col("__source").alias("__t"), "source_size", "target", "__blocks", "__passes", "__rest", "__shards")
+    t = t.select(F.col("__source").alias("__t"), "source_size", "target", "__blocks", "__passes", F.col("__words").alias("__over"), "__shards")
     # where each text's words lie in the order of its source
     inside = Window.partitionBy("__source", "__run").orderBy("__hash", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = slim.withColumn("__ahead", F.coalesce(F.sum("size").over(inside), F.lit(0)))
@@ -148,13 +150,14 @@ def mix_sources(
     first, last = F.expr(f"__pos div {block}"), F.expr(f"(__pos + size - 1) div {block}")
 
     def chosen(b: Column) -> Column:
-        """Whether block b is among those that its shard takes besides the whole passes."""
+        """How many of run b's first words its shard takes besides the whole passes."""
         # the first shard whose end, blocks * (k + 1) div shards, lies behind b
         k = F.ceil((b + 1) * shards / F.col("__blocks")) - 1
         mine = F.get("__shards", F.least(k, F.lit(shards - 1)).cast("int"))
-        return F.pmod((b - mine["__from"]) * mine["step"] + mine["turn"], mine["__n"]) < mine["__take"]
+        turned = F.pmod((b - mine["__from"]) * mine["step"] + mine["turn"], mine["__n"])
+        return F.when(turned < mine["__take"], F.lit(block)).when(turned == mine["__take"], mine["__part"]).otherwise(F.lit(0))
 
-    overlap = lambda b: F.least(F.col("__pos") + F.col("size"), (b + 1) * block) - F.greatest(F.col("__pos"), b * block)
-    picked = F.aggregate(F.sequence(first, last), F.lit(0).cast("long"), lambda acc, b: acc + F.when(chosen(b), overlap(b)).otherwise(F.lit(0)).cast("long"))
-    taken = F.col("size") * F.col("__passes") + F.when((F.col("size") > 0) & (F.col("__rest") > 0), picked).otherwise(F.lit(0))
+    overlap = lambda b: F.greatest(F.least(F.col("__pos") + F.col("size"), b * block + chosen(b)) - F.greatest(F.col("__pos"), b * block), F.lit(0))
+    picked = F.aggregate(F.sequence(first, last), F.lit(0).cast("long"), lambda acc, b: (acc + overlap(b)).cast("long"))
+    taken = F.col("size") * F.col("__passes") + F.when((F.col("size") > 0) & (F.col("__over") > 0), picked).otherwise(F.lit(0))
     return placed.select(key, *extra, "size", "source_size", "target", taken.cast("long").alias("taken"))
