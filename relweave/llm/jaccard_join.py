@@ -207,8 +207,10 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", k
     given = docs.select(F.col("d").cast("string").alias("__key"), F.col("text").alias("__text"))
     seen = materialize(given.mapInPandas(lambda it: _profile(it, k), "d string, n long, c1 long, c2 long, bucket int"), "nj")
     counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    for r in seen.where("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        counts[r["bucket"]] = r["n"]
+    summed = seen.where("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n"))
+    # one number a bucket, in a few long lists: a row each would take the driver much more memory
+    for r in summed.groupBy(F.shiftright("bucket", 12)).agg(F.collect_list("bucket").alias("at"), F.collect_list("n").alias("n")).select("at", "n").collect():
+        counts[r["at"]] = r["n"]
     levels = rarity_levels(counts)
     rows = seen.where("bucket is null").select(F.col("d").cast(kind).alias("d"), "n", "c1", "c2")
     classes = materialize(rows.where("n > 0 and d is not null").groupBy("c1", "c2").agg(F.min("d").alias("rep")), "nj")

@@ -29,9 +29,12 @@ RUNS = 4096
 
 
 def n_words(text: Column) -> Column:
-    """Number of words, without building them: starts of words are counted."""
-    spaced = F.translate(text, "\t\n\x0b\x0c\r", "     ")
-    squeezed = F.trim(F.regexp_replace(spaced, "  +", " "))
+    """Number of words, without building them: the spaces between them are counted."""
+    spaced = text
+    for space in "\t\n\x0b\x0c\r":
+        spaced = F.replace(spaced, F.lit(space), F.lit(" "))
+    # few texts have two spaces in a row, and the pattern is what costs
+    squeezed = F.trim(F.when(F.contains(spaced, F.lit("  ")), F.regexp_replace(spaced, "  +", " ")).otherwise(spaced))
     return F.when(text.isNull() | (squeezed == ""), 0).otherwise(F.length(squeezed) - F.length(F.replace(squeezed, F.lit(" "))) + 1).cast("long")
 
 
@@ -109,7 +112,8 @@ def mix_sources(
     """``key`` (and ``keep``), size, source_size, target and taken of each row. ``weights`` repeat over the sources by code point."""
     extra = [c for c in (keep or []) if c != key]
     h = F.xxhash64(F.lit(seed), F.col(key), F.col(text))
-    slim = df.select(key, *extra, F.col(source).alias("__source"), n_words(F.col(text)).alias("size"), h.alias("__hash"))
+    held = [F.struct(*extra).alias("__keep")] if extra else []  # so that no name of theirs meets one used here
+    slim = df.select(key, *held, F.col(source).alias("__source"), n_words(F.col(text)).alias("size"), h.alias("__hash"))
     slim = slim.withColumn("__run", F.pmod(F.shiftrightunsigned(F.col("__hash"), 20), F.lit(RUNS)).cast("int"))
     slim = materialize(slim, "mix")
     # words of each run of each source: a bounded number of rows a source
@@ -160,4 +164,4 @@ def mix_sources(
     overlap = lambda b: F.greatest(F.least(F.col("__pos") + F.col("size"), b * block + chosen(b)) - F.greatest(F.col("__pos"), b * block), F.lit(0))
     picked = F.aggregate(F.sequence(first, last), F.lit(0).cast("long"), lambda acc, b: (acc + overlap(b)).cast("long"))
     taken = F.col("size") * F.col("__passes") + F.when((F.col("size") > 0) & (F.col("__over") > 0), picked).otherwise(F.lit(0))
-    return placed.select(key, *extra, "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return placed.select(key, *[F.col("__keep")[c].alias(c) for c in extra], "size", "source_size", "target", taken.cast("long").alias("taken"))

@@ -349,3 +349,24 @@ def test_scores_equal_a_loop_over_windows():
 
     texts = [" ".join(vocabulary[i] if i < 30 else f"odd{i}" for i in rng.integers(0, 40, n)) for n in (0, 1, 39, 40, 41, 70, 71, 200)] + [None]
     assert np.allclose(T._Scorer(model).scores(texts), [score(t) for t in texts], atol=1e-4)
+
+
+def test_pipeline_with_clashing_columns_and_without_labels(spark, tmp_path):
+    import corpus_pipeline
+
+    rnd = random.Random(21)
+    prose = lambda n: " ".join(f"w{rnd.randrange(400)}" for _ in range(n))
+    rows = [(i, prose(80)) for i in range(20)]
+    rows += [(100 + i, rows[i][1] + " and one more") for i in range(10)] + [(None, rows[3][1]), (200, None), (200, "")]
+    table = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("score", "copy", "whole", "size", "target", "taken", "kept", "lines", "to", "text_", "__keep", "__gone"):
+        table = table.withColumn(c, F.lit("clash"))
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    near = stages["near_duplicates"](spark, table, str(tmp_path))
+    assert near.columns == table.columns
+    assert sorted(str(r["doc_id"]) for r in near.collect()) == sorted([*map(str, range(20)), "None", "200", "200"])
+    for name in ("quality", "line_dedup", "mixing"):
+        out = stages[name](spark, table, str(tmp_path))
+        assert out.columns == table.columns and {r["whole"] for r in out.collect()} == {"clash"}
+    assert all(stages[name](spark, table.limit(0), str(tmp_path)).collect() == [] for name in stages)
