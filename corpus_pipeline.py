@@ -46,12 +46,12 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mix_sources(docs, keep=[c for c in docs.columns if c != "doc_id"])
+    whole = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("whole"))
+    mixed = mix_sources(whole, keep=["whole"]).where("taken > 0")
     # whole documents: the share of a text that the mix takes, rounded up or down by a seeded hash
-    chance = F.pmod(F.xxhash64(F.lit(23), "doc_id", "text"), F.lit(1_000_000)) / 1_000_000
+    chance = F.pmod(F.xxhash64(F.lit(23), "whole.doc_id", "whole.text"), F.lit(1_000_000)) / 1_000_000
     copies = F.floor(F.col("taken") / F.col("size") + chance).cast("int")
-    (copy,) = unused(docs, "copy")
-    return mixed.where("taken > 0").withColumn(copy, F.explode(F.sequence(F.lit(0), copies))).where(F.col(copy) > 0).select(*docs.columns)
+    return mixed.select("whole", F.explode(F.sequence(F.lit(0), copies)).alias("copy")).where("copy > 0").select("whole.*")
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
