@@ -229,3 +229,19 @@ def test_codecs():
             assert name == "brotli11" and notes
     with pytest.raises(KeyError):
         codecs.compress("none", b"")
+
+
+@pytest.mark.parametrize("affine,offset", [(False, 0), (True, 3)])
+def test_containers_are_built_and_read_in_pieces(affine, offset):
+    import tracemalloc
+
+    data = np.random.default_rng(8).integers(97, 123, 12_000_000, dtype=np.uint8).tobytes()
+    tracemalloc.start()
+    e = C.encode_gf2(data, 64, affine, offset)
+    built = tracemalloc.get_traced_memory()[1]
+    back = C.decode(e.data)
+    read = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert e.kind == "GF2" and back == data
+    assert max(built, read) < 8 * len(data)
+    assert C.decode(C.encode_passthrough(data[:999]).data) == data[:999]
