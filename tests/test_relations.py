@@ -143,6 +143,16 @@ def test_table_container(spark):
     assert [(r["x"], r["y"], r["z"]) for r in back] == [(int(a), int(b), int(a + b)) for a, b in zip(x, y, strict=True)]
 
 
+def test_table_container_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(containers, "BLOCK_ROWS", 30)
+    x, y = np.arange(100) * 7 % 50, np.arange(100) * 3 % 11
+    df = table(spark, {"id": np.arange(100), "x": x, "y": y, "z": x + 2 * y}).repartition(3, "y")
+    made = containers.encode_table(df, ["x", "y", "z"], "id")
+    assert sorted((r["first_row"], r["kind"]) for r in made.collect()) == [(i, "TABULAR_AFFINE") for i in (0, 30, 60, 90)]
+    back = containers.decode_table(made, ["x", "y", "z"]).orderBy("row_id").collect()
+    assert [(r["row_id"], r["x"], r["y"], r["z"]) for r in back] == [(i, int(a), int(b), int(a + 2 * b)) for i, (a, b) in enumerate(zip(x, y, strict=True))]
+
+
 def test_harness_and_ledger(spark, tmp_path):
     df = G.to_frame(spark, [G.gf2_linear_code(4096, 32, 32, 12), G.mixed_noise_bits(512, 64, 1)]).select("dataset_id", "bytes")
     out = ledger.measure(df, "test").collect()
