@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import sys
 import zlib
 
 import pytest
@@ -179,6 +180,40 @@ def test_frequent_words_are_joined_in_twos(spark, monkeypatch, frequent, broadca
     assert [got[d] for d, _ in rows] == word_set_oracle(rows)
 
 
+def test_frequent_words_in_several_rounds(spark, monkeypatch):
+    from relweave.llm import line_dedup
+
+    monkeypatch.setattr(line_dedup, "FREQUENT", 2)
+    monkeypatch.setattr(line_dedup, "MOST_TWOS", 2000)
+    rnd = random.Random(6)
+    few = [f"v{i}" for i in range(14)]
+    rows = [(d, "\n".join(" ".join(rnd.choice(few) for _ in range(rnd.randint(1, 14))) for _ in range(5))) for d in range(30)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[d] for d, _ in rows] == word_set_oracle(rows)
+
+
+def test_a_family_of_lines_verifies_no_square_of_pairs(spark, monkeypatch):
+    from relweave.llm import line_dedup
+
+    pairs, plain = [], line_dedup.materialize
+
+    def counted(df, *name):
+        out = plain(df, *name)
+        if sys._getframe(1).f_code.co_name == "verified" and out.columns == ["a", "b"]:
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialize", counted)
+    base, rows = [f"w{i}" for i in range(30)], []
+    for d in range(150):
+        w = list(base)
+        w[d % 30] = f"x{d}"
+        rows.append((d, " ".join(w)))
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[d] for d, _ in rows] == word_set_oracle(rows)
+    assert 0 < sum(pairs) < 4 * len(rows)
+
+
 def test_sentencepiece_matches_the_library(docs, spark):
     import public_tokenizers
     import sentencepiece
