@@ -12,7 +12,8 @@ through are verified, on whole shingle sets; until then prefixes of 16-bit hashe
 Large groups of copies. Verified pairs only matter as far as they connect classes, so a prefix shingle's classes are
 first compared with one of them each (the leader), in a few turns with other leaders; where that has put all classes of
 a shingle into one component, no further pair of it can change anything. Of the other shingles, every pair across
-components is compared. This loses no link: the components are those of all links.
+components is compared: all at once if they are few, else a bounded number for each class at a time, and those that lie
+in one component by then are left out. This loses no link: the components are those of all links.
 
 Defined results: words are lower-cased (A-Z) and parted by ASCII white space; a text with fewer words than a shingle has
 one, its whole sequence; null, empty and blank texts have none and link with nothing; a null key has a null component
@@ -37,6 +38,8 @@ SKETCH_BITS = 17
 LEADERS = 4
 #: Turns of comparing with leaders before the remaining pairs across components are compared.
 TURNS = 2
+#: Pairs across components up to which all are compared at once; of more, each class has PAIRS_EACH at a time, then four times as many.
+FEW_PAIRS, PAIRS_EACH = 20_000, 8
 #: Bits of a set's bitmap.
 PARITY = 256
 #: Keys up to which a set of them (tens of bytes each) is broadcast; beyond, it is joined by a shuffle.
@@ -277,9 +280,21 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", k
         before, rest = rest, still_open(rest, part)
         release(before)
 
-    # what is open then: all pairs across components
+    # what is open then: all pairs across components, of many some for each class at a time
     x, y = side(rest, "x_"), side(rest, "y_")
     met = pairs_of(x.join(y, "token").where((F.col("x_d") < F.col("y_d")) & (F.col("x_c") != F.col("y_c")) & can_match("x_", "y_")))
+    each = PAIRS_EACH
+    while met.count() > FEW_PAIRS:
+        place = F.row_number().over(Window.partitionBy("b").orderBy(F.xxhash64("a", "b"), "a"))
+        some = materialize(met.withColumn("at", place).where(F.col("at") <= each).select("a", "b"), "nj")
+        links, each = links.unionByName(_linked(some, docs, first, k, num, den)), each * 4
+        release(part)
+        part = materialize(connected_components(links), "nj")
+        left = met.join(some, ["a", "b"], "left_anti")
+        for end in "ab":
+            left = left.join(part.select(F.col("node").alias(end), F.col("component_id").alias(f"c_{end}")), end, "left")
+        before, met = met, materialize(left.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b"), "nj")
+        release(before), release(some)
     links = links.unionByName(_linked(met, docs, first, k, num, den))
     release(met), release(rest), release(first), release(part)
     whole = materialize(connected_components(links), "nj")

@@ -114,6 +114,29 @@ def test_many_variants_of_one_text(spark):
     assert 1 < len(set(want.values())) < 150
 
 
+def test_a_family_of_texts_verifies_no_square_of_pairs(spark, monkeypatch):
+    from relweave.llm import jaccard_join
+
+    pairs, plain = [], jaccard_join._linked
+
+    def counted(met, *more):
+        pairs.append(met.count())
+        return plain(met, *more)
+
+    for name, value in {"_linked": counted, "TURNS": 0, "FEW_PAIRS": 50, "PAIRS_EACH": 4}.items():
+        monkeypatch.setattr(jaccard_join, name, value, raising=False)
+    rnd = random.Random(12)
+    rows, base = [], [f"w{i}" for i in range(120)]
+    for d in range(120):
+        w = list(base)
+        w[rnd.randrange(120)] = f"x{d}"
+        rows.append((d, " ".join(w)))
+    want, _ = links(dict(rows), 4, 85, 100)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), k=4, num=85).collect()}
+    assert got == want and len(set(want.values())) < 60
+    assert 0 < sum(pairs) < 10 * len(rows)
+
+
 def test_prefix_bound_never_rejects_a_link():
     import numpy as np
 
