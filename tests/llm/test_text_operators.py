@@ -215,6 +215,19 @@ def test_frequent_words_in_several_rounds(spark, monkeypatch):
     assert [got[d] for d, _ in rows] == word_set_oracle(rows)
 
 
+def test_word_levels_are_read_back_and_short_in_plans(spark):
+    from relweave.llm import line_dedup
+
+    lines = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(500)))], "ord long, line string")
+    levels = bytearray(i * 7 % 64 for i in range(1 << line_dedup.BUCKET_BITS))
+    hashes = [r["h"] for r in spark.range(500).select(F.xxhash64(F.concat(F.lit("w"), F.col("id").cast("string"))).alias("h")).collect()]
+    of = [h % (1 << 64) >> 64 - line_dedup.BUCKET_BITS for h in hashes]
+    want = sorted(levels[b] << 57 | h % (1 << 64) >> 7 for b, h in zip(of, hashes, strict=True))
+    assert line_dedup.with_codes(lines, levels).first()["codes"] == want
+    plan = line_dedup.with_codes(lines, line_dedup.word_levels(lines, "line"))._jdf.queryExecution().executedPlan().toString()
+    assert len(plan) < 150_000
+
+
 def test_a_family_of_lines_verifies_no_square_of_pairs(spark, monkeypatch):
     from relweave.llm import line_dedup
 
