@@ -228,6 +228,29 @@ def test_word_levels_are_read_back_and_short_in_plans(spark):
     assert len(plan) < 150_000
 
 
+def test_the_join_on_single_words_reads_one_exchange(spark, monkeypatch):
+    from relweave.llm import line_dedup
+
+    plans, plain = [], line_dedup.materialize
+
+    def seen(df, *name):
+        if sys._getframe(1).f_code.co_name == "removed_lines" and df.columns == ["a", "b"]:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, *name)
+
+    monkeypatch.setattr(line_dedup, "materialize", seen)
+    monkeypatch.setattr(line_dedup, "FREQUENT", 40)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = [(d, f"common {d % 9} a{d} b{d % 50}\nonly{d} c{d % 70} d{d % 70}") for d in range(200)]
+        got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert [got[d] for d, _ in rows] == word_set_oracle(rows)
+    of_words = [line for line in plans[0].splitlines() if "Exchange hashpartitioning(word" in line]
+    assert sum("ReusedExchange" not in line for line in of_words) == 1 and len(of_words) == 2
+
+
 def test_a_family_of_lines_verifies_no_square_of_pairs(spark, monkeypatch):
     from relweave.llm import line_dedup
 
