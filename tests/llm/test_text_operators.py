@@ -251,6 +251,23 @@ def test_the_join_on_single_words_reads_one_exchange(spark, monkeypatch):
     assert sum("ReusedExchange" not in line for line in of_words) == 1 and len(of_words) == 2
 
 
+def test_plans_that_verify_hold_no_levels(spark, monkeypatch):
+    from relweave.llm import line_dedup
+
+    sizes, plain = [], line_dedup.materialize
+
+    def seen(df, *name):
+        if sys._getframe(1).f_code.co_name == "verified":
+            sizes.append(len(df._jdf.queryExecution().executedPlan().toString()))
+        return plain(df, *name)
+
+    monkeypatch.setattr(line_dedup, "materialize", seen)
+    rows = [(d, " ".join([*(f"w{i}" for i in range(30)), f"x{d}"])) for d in range(5)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[d] for d, _ in rows] == word_set_oracle(rows)
+    assert sizes and max(sizes) < 20_000
+
+
 def test_a_family_of_lines_verifies_no_square_of_pairs(spark, monkeypatch):
     from relweave.llm import line_dedup
 
