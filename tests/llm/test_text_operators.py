@@ -241,11 +241,13 @@ def test_the_join_on_single_words_reads_one_exchange(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "materialize", seen)
     monkeypatch.setattr(line_dedup, "FREQUENT", 40)
     spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of size
     try:
         rows = [(d, f"common {d % 9} a{d} b{d % 50}\nonly{d} c{d % 70} d{d % 70}") for d in range(200)]
         got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert [got[d] for d, _ in rows] == word_set_oracle(rows)
     of_words = [line for line in plans[0].splitlines() if "Exchange hashpartitioning(word" in line]
     assert sum("ReusedExchange" not in line for line in of_words) == 1 and len(of_words) == 2
