@@ -370,3 +370,22 @@ def test_pipeline_with_clashing_columns_and_without_labels(spark, tmp_path):
         out = stages[name](spark, table, str(tmp_path))
         assert out.columns == table.columns and {r["whole"] for r in out.collect()} == {"clash"}
     assert all(stages[name](spark, table.limit(0), str(tmp_path)).collect() == [] for name in stages)
+
+
+def test_mixing_stage_carries_no_texts(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+    from relweave.llm import mixing
+
+    rnd = random.Random(8)
+    rows = [(i, " ".join(f"w{rnd.randrange(90)}" for _ in range(rnd.randrange(1, 60))), "en", f"s{i % 3}", 0) for i in range(60)]
+    rows += rows[:5] * 3 + [(90, None, "en", "s0", 0), (90, "en", None, "s0", 0), (91, "two words", None, None, 0), (91, None, "two words", None, 0)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = []
+    for r in mixing.mix_sources(table.select("*", F.xxhash64(F.lit(23), "doc_id", "text").alias("h")), keep=["text", "lang", "source", "h"]).collect():
+        want += [(r["doc_id"], r["text"], r["lang"], r["source"], 0)] * int(r["taken"] / r["size"] + r["h"] % 1_000_000 / 1_000_000 if r["taken"] else 0)
+    written, plain = [], mixing.materialize
+    for module in (mixing, corpus_pipeline):
+        monkeypatch.setattr(module, "materialize", lambda df, *name: written.append(df.schema.simpleString()) or plain(df, *name))
+    out = dict(corpus_pipeline.STAGES)["mixing"](spark, table, str(tmp_path))
+    assert sorted(map(str, (tuple(r) for r in out.collect()))) == sorted(map(str, want)) and len(want) > 60
+    assert written and not any("text" in x for x in written)
