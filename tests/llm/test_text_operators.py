@@ -516,3 +516,21 @@ def test_short_lines_take_part(spark):
     rows = [(1, "Read more\n\nSubscribe now!\n \t"), (2, "Read more\n\nmore Read\nx"), (3, "Subscribe now!\n \t\nx\nRead less\nRead  more")]
     got = {r["doc_id"]: r["text"] for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[d] for d, _ in rows] == word_set_oracle(rows) == ["Read more\n\nSubscribe now!\n \t", "\nx", " \t\nRead less"]
+
+
+def test_heads_of_lines_deal_out_no_texts(spark, monkeypatch):
+    from relweave.llm import line_dedup
+
+    plans, plain = [], line_dedup.materialize
+
+    def seen(df, *name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString() if "head" in df.columns else "")
+        return plain(df, *name)
+
+    monkeypatch.setattr(line_dedup, "materialize", seen)
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 1)  # as for tables of size
+    rows = [(d, f"common {d % 9} a{d} b{d % 50}\nonly{d} c{d % 70} d{d % 70}\ncommon line of all") for d in range(60)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[d] for d, _ in rows] == word_set_oracle(rows)
+    assert sum(map(bool, plans)) and not any("Join" in x for x in plans)
+    assert sum("Exchange" in x for x in plans) == 2 and not any("Exchange" in x and "split" in x for x in plans)
