@@ -212,6 +212,17 @@ def test_codec_sizes(spark):
     assert len(rows) == 6 and all(r["bytes"] is None or r["bytes"] < 100 for r in rows)
 
 
+def _large(spark):
+    """A dataset of more than 4,000,000 bytes that compresses fast."""
+    return G.to_frame(spark, [G.Dataset("large", bytes(range(250)) * 16_100)]).select("dataset_id", "bytes")
+
+
+def test_large_containers_are_checked_under_every_codec(spark):
+    df = _large(spark)
+    got = codec_sizes.composed_roundtrips(containers.encode_passthrough(df), df).first()
+    assert got["all_ok"] and got["n_codecs_checked"] + got["n_codecs_errored"] == 6 and got["n_codecs_checked"] >= 5
+
+
 def _few_documents(spark, path):
     rows = [(i, f"text {i} of a source named otherwise " * 3, f"other{i % 3}") for i in range(6)]
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{path}/documents.parquet")
