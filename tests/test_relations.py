@@ -223,6 +223,11 @@ def test_large_containers_are_checked_under_every_codec(spark):
     assert got["all_ok"] and got["n_codecs_checked"] + got["n_codecs_errored"] == 6 and got["n_codecs_checked"] >= 5
 
 
+def test_harness_checks_large_containers_under_every_codec(spark):
+    got = ledger.measure(_large(spark), "test", [(8, 0, False)]).first()
+    assert got["composed_roundtrip_ok"] and got["n_codecs_checked"] + got["n_codecs_errored"] == 6 and got["n_codecs_checked"] >= 5
+
+
 def _few_documents(spark, path):
     rows = [(i, f"text {i} of a source named otherwise " * 3, f"other{i % 3}") for i in range(6)]
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{path}/documents.parquet")
