@@ -153,6 +153,17 @@ def test_table_container_in_blocks(spark, monkeypatch):
     assert [(r["row_id"], r["x"], r["y"], r["z"]) for r in back] == [(i, int(a), int(b), int(a + 2 * b)) for i, (a, b) in enumerate(zip(x, y, strict=True))]
 
 
+def test_table_container_with_large_keys(spark, tmp_path):
+    from relweave.plans.queries import QUERIES
+
+    # a part key of more than 20 bits, and sums of more than 64 bits
+    rows = sorted((o << 40, n, (1 << 21) - n, o % 7 + n) for o in range(1000) for n in (1, 2, 3))
+    spark.createDataFrame(rows[::-1], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = QUERIES["table_container"](spark, str(tmp_path)).first()
+    want = [sum(i * v for i, v in enumerate(c, 1)) for c in zip(*[(x, y, 3 * x + 5 * y + 7, w) for w, _, x, y in rows], strict=True)]
+    assert want[-1] > 2**63 and [int(v) for v in got] == [len(rows), *want]
+
+
 def test_harness_and_ledger(spark, tmp_path):
     df = G.to_frame(spark, [G.gf2_linear_code(4096, 32, 32, 12), G.mixed_noise_bits(512, 64, 1)]).select("dataset_id", "bytes")
     out = ledger.measure(df, "test").collect()
