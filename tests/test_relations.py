@@ -239,6 +239,17 @@ def test_harness_checks_large_containers_under_every_codec(spark):
     assert got["composed_roundtrip_ok"] and got["n_codecs_checked"] + got["n_codecs_errored"] == 6 and got["n_codecs_checked"] >= 5
 
 
+def test_groups_of_codecs_are_tasks_of_their_own(spark):
+    df = G.to_frame(spark, [G.Dataset("a", b"ab" * 1000), G.Dataset("b", b"abc" * 9000)]).select("dataset_id", "bytes")
+    made = codec_sizes.sizes_of_both(df, containers.encode_passthrough(df)).select("dataset_id", "side", "codec", F.spark_partition_id().alias("task"))
+    tasks = {}
+    for r in made.collect():
+        tasks.setdefault(r["task"], set()).add((r["dataset_id"], r["side"], r["codec"]))
+    assert sorted(len(t) for t in tasks.values()) == [1] * 12 + [3] * 4
+    # those that take longest first
+    assert {(d, s) for d, s, _ in tasks[0]} == {("b", "composed")} and {d for d, _, _ in tasks[max(tasks)]} == {"a"}
+
+
 def _few_documents(spark, path):
     rows = [(i, f"text {i} of a source named otherwise " * 3, f"other{i % 3}") for i in range(6)]
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{path}/documents.parquet")
@@ -262,6 +273,13 @@ def test_container_queries_read_the_tables(spark, tmp_path, name):
         assert all(r[passed] for r in got if passed in r.__fields__)
 
 
+def test_composed_gap_compresses_once(spark, tmp_path):
+    from relweave.plans.queries import QUERIES
+
+    got = QUERIES["composed_gap"](spark, _few_documents(spark, tmp_path))
+    assert "MapInPandas" not in got._jdf.queryExecution().toString()  # the gap reads the sizes three times
+
+
 def test_absent_controls_do_not_pass(spark):
     rows = [("positive", "GF2", 0.5, 5000, 100, 60, 3, 480, True)]
     df = spark.createDataFrame(rows, "control string, codec_kind string, gap_pct double, gap_bytes long, dataset_bytes long, total_encoded_bytes long, framing_bits long, total_bits long, roundtrip_ok boolean")
