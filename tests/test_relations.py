@@ -280,6 +280,14 @@ def test_composed_gap_compresses_once(spark, tmp_path):
     assert "MapInPandas" not in got._jdf.queryExecution().toString()  # the gap reads the sizes three times
 
 
+def test_harness_compresses_once(spark, tmp_path):
+    from relweave.plans.queries import QUERIES
+
+    # what is left to do after the query was planned: decoding the containers, and no codec
+    plan = QUERIES["harness"](spark, _few_documents(spark, tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and "back#" in plan
+
+
 def test_absent_controls_do_not_pass(spark):
     rows = [("positive", "GF2", 0.5, 5000, 100, 60, 3, 480, True)]
     df = spark.createDataFrame(rows, "control string, codec_kind string, gap_pct double, gap_bytes long, dataset_bytes long, total_encoded_bytes long, framing_bits long, total_bits long, roundtrip_ok boolean")
